@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, blocks, expand, grams, mix, ranges_of, words
-from siltstone.llm.frames import fresh, map_batches, saved
+from siltstone.llm.frames import fresh, map_batches, named, saved
 
 K = 5
 SPAN = 10
@@ -179,10 +179,9 @@ def _merge(old: list[int] | None, new: list[int]) -> list[int]:
 def _pass(df: DataFrame, index: Broadcast, text: str, names: dict[str, str], k: int, span: int, keep: list[str], again: bool) -> DataFrame:
     spans_c, items_c = names["hit_spans"], names["item_ids"]
 
-    def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    def fn(col: pa.Array, *before: pa.Array) -> dict[str, pa.Array]:
         ix = index.value
-        col = batch.column(batch.schema.get_field_index(text))
-        old = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (spans_c, items_c)] if again else None
+        old = [a.to_pylist() for a in before]
         n_words, spans, items = [], [], []
         for b in blocks(col):
             row_at, hit, _, found = scan(b, ix, k, span)
@@ -208,7 +207,7 @@ def _pass(df: DataFrame, index: Broadcast, text: str, names: dict[str, str], k:
         }
         return {names[o]: v for o, v in made.items()}
 
-    return map_batches(df, fn, {names[o]: t for o, t in OUTPUTS.items()}, keep)
+    return map_batches(df, fn, [text, *([spans_c, items_c] if again else [])], {names[o]: t for o, t in OUTPUTS.items()}, keep)
 
 
 def decontaminate(
@@ -241,8 +240,8 @@ def decontaminate(
     keep = [c for c in docs.columns] if keep is None else list(keep)
     names = {o: prefix + o for o in OUTPUTS}
     carried = fresh(docs, "_text")
-    df = docs.withColumn(carried, docs[text])
-    inner = [c for c in dict.fromkeys([*keep, carried]) if c.lower() not in {x.lower() for x in names.values()}]
+    df = docs.select(*(named(c) for c in dict.fromkeys(keep) if c.lower() not in {x.lower() for x in names.values()}), named(text).alias(carried))
+    inner = df.columns
     ids: list[str] = []
     texts: list[str] = []
     size = done = 0
@@ -254,7 +253,7 @@ def decontaminate(
         ids, texts, size, done = [], [], 0, done + 1
         return saved(df, "passes") if done % 4 == 0 else df
 
-    for r in items.select(items[item_id].cast("string").alias("i"), items[item_text].alias("t")).toLocalIterator():
+    for r in items.select(named(item_id).cast("string").alias("i"), named(item_text).alias("t")).toLocalIterator():
         ids.append("null" if r.i is None else r.i)
         texts.append(r.t or "")
         size += len(texts[-1]) + 1

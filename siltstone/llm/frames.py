@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -40,30 +41,38 @@ def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_batches(
     df: DataFrame,
-    fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
+    fn: Callable[..., dict[str, pa.Array]],
+    inputs: list[str],
     outputs: dict[str, T.DataType],
     keep: Iterable[str],
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
     """Add output columns computed from whole Arrow batches; rows keep their order and number.
 
-    ``keep`` names the columns passed through; one named like an output gives way to the output.
-    ``setup`` runs once in each task before the first batch.
+    ``fn`` gets the arrays of the columns ``inputs`` (and what ``setup``, which runs once in each task,
+    returned, if there is one) and returns the arrays of the outputs. ``keep`` names the columns passed
+    through; one named like an output gives way to the output. Only these columns are read.
     """
     names = {o.lower() for o in outputs}
-    kept = [c for c in keep if c.lower() not in names]
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in names]
+    more = [c for c in inputs if c not in kept]
+    place = {c: i for i, c in enumerate([*kept, *more])}
+    aliased = [named(c) for c in kept] + [named(c).alias(f"_input_{i}") for i, c in enumerate(more)]
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, t) for k, t in outputs.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if setup is not None:
-            setup()
+        state = () if setup is None else (setup(),)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            made = fn(batch)
-            cols = [batch.column(batch.schema.get_field_index(c)) for c in kept] + [made[o] for o in outputs]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *outputs])
+            made = fn(*(batch.column(place[c]) for c in inputs), *state)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(made[o] for o in outputs)], names=[*kept, *outputs])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*aliased).mapInArrow(run, schema)

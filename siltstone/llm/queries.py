@@ -5,12 +5,14 @@ Every query applies its operator to the whole of its table with the production p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
+from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,7 +29,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        _sha(F.array_join("item_ids", ",")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 
@@ -56,11 +58,75 @@ FROM words_of LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _digest(spans: Column) -> Column:
+    """kind:start:end of spans, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def _spans_sql(table: str, kinds: list[tuple[str, str, str, int]], base: list[str]) -> str:
+    """SQL that finds spans by regular expressions: (kind, pattern, condition on match m, group whose text m is)."""
+    q = lambda s: s.replace("'", "''")
+    found = []
+    for rank, (kind, pattern, condition, group) in enumerate(kinds):
+        # Matches and the pieces between them alternate, so positions are running sums of lengths.
+        found.append(f"""
+    SELECT doc_id, {rank} AS rank, '{kind}' AS kind, x.s AS s, x.e AS e FROM (
+        SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+            's': list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0),
+            'e': list_sum(list_transform(p[1:i], lambda y: length(y))) + list_sum(list_transform(m[1:i], lambda y: length(y))),
+            'm': g[i], 'before': p[i], 'after': p[i + 1]}})) AS x
+        FROM (SELECT doc_id, regexp_extract_all(t, '{q(pattern)}') AS m, regexp_extract_all(t, '{q(pattern)}', {group}) AS g,
+                     string_split_regex(t, '{q(pattern)}') AS p FROM texts)) WHERE {condition}""")
+    names = ", ".join(f"'{b}'" for b in base)
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{b}') AS BIGINT) AS n_{b}" for b in base)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}), found AS ({" UNION ALL ".join(found)}
+), per AS (
+    SELECT doc_id, {counts}, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) FILTER (kind IN ({names})) AS base,
+           string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans FROM found GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{b}, 0) AS n_{b}" for b in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per USING (doc_id)
+"""
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents."""
+    found = find_secrets(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    spans, base = F.col("secrets"), [r.kind for r in BASE_RULES]
+    return found.select(
+        "doc_id",
+        *(_count(spans, k) for k in base),
+        _sha(_digest(F.filter(spans, lambda s: s["kind"].isin(base)))).alias("base_sha256"),
+        _digest(spans).alias("spans"),
+    )
+
+
+def _op9_sql() -> str:
+    either = lambda p: re.sub(r"[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", p)
+    kinds = []
+    for r in RULES:
+        p = r.pattern
+        if r.ignore_case:  # the keywords stand before the first class
+            words, rest = p.split("[", 1)
+            p = f"{either(words)}[{rest}"
+        kinds.append((r.kind, p, f"length(x.m) >= {r.min_len}", r.group))
+    return _spans_sql("documents", kinds, [r.kind for r in BASE_RULES])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op2_decontaminate": op2_decontaminate}
+    return {"op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql()}
