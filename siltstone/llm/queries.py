@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
+from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,6 +99,41 @@ FROM texts LEFT JOIN per USING (doc_id)
 """
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents."""
+    found = find_pii(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    spans, base = F.col("pii"), [k.name for k in KINDS if k.base]
+    return found.select(
+        "doc_id",
+        *(_count(spans, k) for k in base),
+        _sha(_digest(F.filter(spans, lambda s: s["kind"].isin(base)))).alias("base_sha256"),
+        _digest(spans).alias("spans"),
+    )
+
+
+def _op1_sql() -> str:
+    digits = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+    bare = "replace(x.m, ' ', '')"
+    luhn = f"""(list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr({digits}, CAST(length({digits}) - i AS BIGINT), 1) AS INT)
+        ELSE (2 * CAST(substr({digits}, CAST(length({digits}) - i AS BIGINT), 1) AS INT)) // 10 + (2 * CAST(substr({digits}, CAST(length({digits}) - i AS BIGINT), 1) AS INT)) % 10 END)) % 10 = 0)"""
+    mod97 = f"""(list_reduce(list_prepend(0, list_transform(string_split(substr({bare}, 5) || substr({bare}, 1, 4), ''),
+        lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v >= 10 THEN 100 ELSE 10 END + v) % 97) = 1)"""
+    confirmed = {
+        "email": "true",
+        "ip": f"regexp_matches(x.m, '{IP_VALID}')",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": mod97,
+        "ssn": "NOT regexp_matches(x.before, '[0-9-]$') AND NOT regexp_matches(x.after, '^[0-9-]')",
+    }
+    kinds = []
+    for k in KINDS:
+        around = f"lower(right(x.before, {BEFORE}) || ' | ' || left(x.after, {AFTER}))"
+        score = f"round({k.score} + CASE WHEN regexp_matches({around}, '{k.near}') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches({around}, '{k.far}') THEN 0.3 ELSE 0 END, 6)"
+        kinds.append((k.name, k.plain, confirmed[k.name] + ("" if k.base else f" AND {score} >= {KEEP_SCORE}"), 0))
+    return _spans_sql("documents", kinds, [k.name for k in KINDS if k.base])
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents."""
     found = find_secrets(_read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -124,9 +160,9 @@ def _op9_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql()}
+    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql()}
