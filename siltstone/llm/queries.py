@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
+from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
+from siltstone.llm.warc import read_warc, write_warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -158,11 +160,36 @@ def _op9_sql() -> str:
     return _spans_sql("documents", kinds, [r.kind for r in BASE_RULES])
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives in the shared folder and read back."""
+    folder = shared_dir(spark)
+    write_warc(_read(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+bits AS (
+    SELECT page_id, strlen(body) AS n, sha256(body) AS sha,
+           list_reduce(list_transform(string_split(sha1(body), ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), lambda a, b: a || b) AS b
+    FROM bodies
+), named AS (
+    SELECT page_id, n, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT) + CAST(substr(b, 5 * i + 5, 1) AS INT), 1)), lambda x, y: x || y) AS digest,
+           max(page_id) OVER (PARTITION BY sha, n) AS head
+    FROM bits
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = head THEN NULL ELSE head END AS refers_to
+FROM named
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql()}
+    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
