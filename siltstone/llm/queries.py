@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.bpe import decode, encode
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
@@ -160,6 +161,30 @@ def _op9_sql() -> str:
     return _spans_sql("documents", kinds, [r.kind for r in BASE_RULES])
 
 
+def vocabulary() -> tuple[str, str]:
+    """Path and pattern of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, number and digest of the ids of each text, and the digest of what they decode to."""
+    path, pattern = vocabulary()
+    found = decode(encode(docs, path, pattern, keep=["doc_id"]), path)
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded."""
+    return encoded_digests(_read(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives in the shared folder and read back."""
     folder = shared_dir(spark)
@@ -187,7 +212,7 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
