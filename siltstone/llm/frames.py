@@ -35,9 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage is cut and executors may be lost."""
+    """df written as Parquet in the shared folder and read again: lineage is cut and executors may be lost.
+
+    Small results in many partitions would make many small files: at most four per core are written.
+    """
     path = f"{folder or shared_dir(df.sparkSession)}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,8 @@ from siltstone.llm.frames import named
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
-#: Records in one archive at most: with segments of 32 KiB, 256 MiB before compression.
+#: Bytes of payload for each archive, and records in one archive at most: with segments of 32 KiB, 256 MiB before compression.
+ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 8192
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -140,7 +141,10 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
     records = told.select("key", "url", "body", "head").mapInArrow(run, schema)
-    records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+    # A number of archives that follows the bytes, not the partitions of the input.
+    size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    n = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
+    records.coalesce(n).select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
 
 
 @dataclass
