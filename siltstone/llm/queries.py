@@ -15,6 +15,8 @@ from siltstone.llm.bpe import decode, encode
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
+from siltstone.llm import quality
+from siltstone.llm.labelled import fold
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
 from siltstone.llm.warc import read_warc, write_warc
 
@@ -185,6 +187,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored for quality."""
+    docs = _read(spark, sf_dir, "documents")
+    net = quality.fit(docs, _read(spark, sf_dir, "labels"), folds=4, held_out=2)
+    return quality.score(docs, net, keep=["doc_id"]).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives in the shared folder and read back."""
     folder = shared_dir(spark)
@@ -212,7 +226,7 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
