@@ -118,15 +118,25 @@ def ranges_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+class RangeHasher:
     """64-bit hashes of byte ranges; equal bytes hash alike wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    terms = data.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= _power("up", n + 1)[:n]
-    np.cumsum(terms, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", n + 1)[starts] ^ (ends - starts).astype(np.uint64))
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _power("up", n + 1)[:n]
+        np.cumsum(terms, out=self.sums[1:])
+        self.down = _power("down", n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of some ranges of data."""
+    return RangeHasher(data)(starts, ends)
 
 
 def words(block: Block, lower: bool = True) -> Words:

@@ -15,7 +15,7 @@ from siltstone.llm.bpe import decode, encode
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
-from siltstone.llm import quality
+from siltstone.llm import quality, toxicity
 from siltstone.llm.labelled import fold
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
 from siltstone.llm.warc import read_warc, write_warc
@@ -199,6 +199,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored for toxicity."""
+    docs = _read(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, _read(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return toxicity.score(docs, net, keep=["doc_id"]).select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        toxicity.toxic(F.col("score")).alias("predicted"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives in the shared folder and read back."""
     folder = shared_dir(spark)
@@ -226,7 +238,7 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
