@@ -17,6 +17,7 @@ from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
 from siltstone.llm import quality, toxicity
 from siltstone.llm.labelled import fold
+from siltstone.llm.line_dedup import DEPTH, MIN_DOCS, MIN_TOKENS, SHARE, dedup_lines
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
 from siltstone.llm.warc import read_warc, write_warc
 
@@ -199,6 +200,32 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates."""
+    found = dedup_lines(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_dropped", _sha(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+
+
+OP7_SQL = rf"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+raw AS (SELECT doc_id, i - 1 AS n, list_transform(regexp_extract_all(p[i], '[^\x00-\x20]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*> ' ELSE t END) AS w
+        FROM parts, unnest(range(1, len(p) + 1)) AS r(i)),
+every AS (SELECT doc_id, n, w, array_to_string(w[1:{DEPTH}], ' ') || ' ' || len(w) AS leaf FROM raw WHERE len(w) >= {MIN_TOKENS}),
+kinds AS (SELECT leaf, w, count(DISTINCT doc_id) AS docs, min({{'k': doc_id, 'n': n}}) AS rep FROM every GROUP BY leaf, w),
+tokens AS (SELECT leaf, w, docs, p, w[p] AS token FROM kinds, unnest(range(1, len(w) + 1)) AS r(p)),
+constants AS (SELECT leaf, p, token FROM tokens GROUP BY leaf, p, token HAVING sum(docs) >= {MIN_DOCS}),
+fits AS (SELECT leaf, w FROM tokens JOIN constants USING (leaf, p, token) GROUP BY leaf, w HAVING count(*) >= {SHARE} * len(w)),
+instances AS (SELECT kinds.* FROM kinds JOIN fits USING (leaf, w)),
+heads AS (SELECT leaf, min(rep) AS head FROM instances GROUP BY leaf HAVING sum(docs) >= {MIN_DOCS}),
+gone AS (SELECT doc_id, n FROM every JOIN instances USING (leaf, w) JOIN heads USING (leaf) WHERE {{'k': doc_id, 'n': n}} <> head),
+per AS (SELECT doc_id, list(n) AS g FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN g IS NULL THEN coalesce(text, '') ELSE
+           coalesce(array_to_string(list_transform(list_filter(range(1, len(string_split(text, chr(10))) + 1), lambda i: NOT list_contains(g, i - 1)), lambda i: string_split(text, chr(10))[i]), chr(10)), '') END) AS text_sha256
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored for toxicity."""
     docs = _read(spark, sf_dir, "documents")
@@ -238,9 +265,9 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
+    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op7_lines": OP7_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
