@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import decode, encode
 from siltstone.llm.decontaminate import decontaminate
+from siltstone.llm.embedding_dedup import near_duplicates
 from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
 from siltstone.llm import quality, toxicity
@@ -164,6 +165,25 @@ def _op9_sql() -> str:
     return _spans_sql("documents", kinds, [r.kind for r in BASE_RULES])
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings."""
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+)
+SELECT vec_id, CAST((SELECT count(*) FROM pairs WHERE a = vec_id) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS c FROM reach GROUP BY a) USING (vec_id)
+"""
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -265,9 +285,9 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op7_lines": OP7_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
+    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op3_embeddings": OP3_SQL, "op7_lines": OP7_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
