@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     texts = docs.select(named(key).alias("k"), named(text).cast("string").alias("t")).where("t IS NOT NULL")
     # The picked keys and labels are at most max_rows small rows: a proven bound for the broadcast.
     return texts.join(F.broadcast(picked), "k").select("k", "t", "y")
+
+
+def collected(df: DataFrame, bag: str, dtype: type, width: int) -> tuple[pa.Table, list[np.ndarray]]:
+    """A bounded frame on the driver, ordered by key ``k`` and label ``y``, and its lists ``bag`` as arrays of ``width`` columns.
+
+    Arrow buffers are used as they come: no Python object per number.
+    """
+    table = df.toArrow()
+    table = table.take(pc.sort_indices(table.select(["k", "y"]), sort_keys=[("k", "ascending"), ("y", "ascending")]))
+    bags = []
+    for chunk in table.column(bag).chunks:
+        at, values = np.asarray(chunk.offsets), np.asarray(chunk.values)
+        bags += [values[a:z].astype(dtype, copy=False).reshape(-1, width) for a, z in zip(at[:-1], at[1:], strict=True)]
+    return table.drop_columns([bag]), bags

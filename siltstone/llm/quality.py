@@ -13,13 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, blocks, range_hashes, ranges_of
 from siltstone.llm.frames import map_batches
-from siltstone.llm.labelled import labelled_sample
+from siltstone.llm.labelled import collected, labelled_sample
 
 PASSAGE = 64
 #: Labelled rows to learn from, and passages taken of each while learning (evenly spread over the text).
@@ -183,17 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return {"x": pa.array(out, pa.list_(pa.float32()))}
 
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
-    got = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.FloatType())}, ["k", "y"]).select(_as_text("k"), "y", "x").toPandas()
-    got = got.sort_values(["k", "y"], kind="stable")
-    bags = [np.asarray(v, np.float64).reshape(-1, FEATURES) for v in got["x"]]
+    made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.FloatType())}, ["k", "y"]).select(F.col("k").cast("string").alias("k"), "y", "x")
+    got, bags = collected(made, "x", np.float64, FEATURES)
     at = np.concatenate([[0], np.cumsum([len(v) for v in bags])]).astype(np.int64)
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES))
-    return train(x, at, got["y"].to_numpy(np.float64), seed=seed)
-
-
-def _as_text(c: str) -> Column:
-    """A column as text."""
-    return F.col(c).cast("string").alias(c)
+    return train(x, at, np.asarray(got["y"], np.float64), seed=seed)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", keep: list[str] | None = None, output: str = "score") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import LOWER, WORD, Block, RangeHasher, blocks, mix, ranges_of
 from siltstone.llm.frames import map_batches
-from siltstone.llm.labelled import labelled_sample
+from siltstone.llm.labelled import collected, labelled_sample
 
 #: Labelled rows to learn and calibrate from.
 TRAIN_ROWS = 8192
@@ -242,11 +242,9 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
 
 def calibrate(net: Network, bags: list[np.ndarray], language: np.ndarray, y: np.ndarray, least: int = 5) -> None:
     """Set the cuts: of a language with at least that many rows of each label its own, else the one of all."""
-    at = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     if not len(bags) or len(set(y.tolist())) < 2:
         return
-    rows = np.concatenate(bags)
-    logit = net.logits(Features(rows, at, language))
+    logit = np.concatenate([net.forward(b, np.array([0, len(b)]))[0] for b in bags]).astype(np.float64)
     net.cuts[:] = best_cut(logit, y)
     for i in range(len(net.cuts)):
         own = language == i
@@ -269,10 +267,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
     made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.IntegerType()), "lang": T.IntegerType()}, ["k", "y"])
-    got = made.select(F.col("k").cast("string").alias("k"), "y", (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % 4 == 0).alias("apart"), "lang", "x").toPandas()
-    got = got.sort_values(["k", "y"], kind="stable")
-    y, language, apart = got["y"].to_numpy(np.float64), got["lang"].to_numpy(np.int64), got["apart"].to_numpy(bool)
-    bags = [np.asarray(v, np.int32).reshape(-1, 1 + len(PREFIXES)) for v in got["x"]]
+    made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.IntegerType()), "lang": T.IntegerType()}, ["k", "y"])
+    apart = (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % 4 == 0).alias("apart")
+    got, bags = collected(made.select(F.col("k").cast("string").alias("k"), "y", apart, "lang", "x"), "x", np.int32, 1 + len(PREFIXES))
+    y, language, apart = np.asarray(got["y"], np.float64), np.asarray(got["lang"], np.int64), np.asarray(got["apart"], bool)
     net = train([b for b, a in zip(bags, apart, strict=True) if not a], y[~apart], seed=seed)
     calibrate(net, [b for b, a in zip(bags, apart, strict=True) if a], language[apart], y[apart])
     return net
