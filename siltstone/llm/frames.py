@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names compare without case)."""
@@ -49,6 +52,15 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows, unless the session has a setting of its own.
+
+    Spark's own 10,000 rows of long texts are tens of MB, several times over: in the JVM, on the way, in Python.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[..., dict[str, pa.Array]],
@@ -63,6 +75,7 @@ def map_batches(
     returned, if there is one) and returns the arrays of the outputs. ``keep`` names the columns passed
     through; one named like an output gives way to the output. Only these columns are read.
     """
+    small_batches(df.sparkSession)
     names = {o.lower() for o in outputs}
     kept = [c for c in dict.fromkeys(keep) if c.lower() not in names]
     more = [c for c in inputs if c not in kept]
