@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.components import components, labels
 from siltstone.llm.frames import map_batches, named, saved, shared_dir
+from siltstone.llm.linking import UNIT_SCHEMA, resolve, unit_rows
 
 THRESHOLD = 0.95
 PROJECTIONS = 16
@@ -178,23 +178,12 @@ def class_links(one: DataFrame, threshold: float = THRESHOLD, pairs: bool = Fals
             return pa.table([pa.array([], pa.int64())] * 3, names=["a", "n", "b"])
         x, y = linked(sides[0][2], None if alone else sides[1][2], threshold, window, least)
         if alone:
-            ids, sizes = sides[0][:2]
-        else:
-            ids, sizes = np.concatenate([sides[0][0], sides[1][0]]), np.concatenate([sides[0][1], sides[1][1]])
-            y = y + len(sides[0][0])
-        if pairs:
-            a, b = ids[x], ids[y]
-            return pa.table([pa.array(np.minimum(a, b)), pa.array([None] * len(a), pa.int64()), pa.array(np.maximum(a, b))], names=["a", "n", "b"])
-        n = np.bincount(x, sizes[y], len(ids)) + np.bincount(y, sizes[x], len(ids))
-        root = labels(x, y, len(ids))
-        has, moved = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(ids)))
-        a = np.concatenate([ids[has], ids[moved]])
-        links = pa.array([*n[has].astype(np.int64).tolist(), *([None] * len(moved))], pa.int64())
-        return pa.table([pa.array(a), links, pa.array([*([None] * len(has)), *ids[root[moved]].tolist()], pa.int64())], names=["a", "n", "b"])
+            return unit_rows(*sides[0][:2], x, y, pairs)
+        return unit_rows(np.concatenate([sides[0][0], sides[1][0]]), np.concatenate([sides[0][1], sides[1][1]]), x, y + len(sides[0][0]), pairs)
 
     placed = map_batches(one, place, ["dim", "p"], {"block": T.IntegerType()}, ["dim", "rep", "size", "unit"])
     packed = placed.groupBy("dim", "block").applyInArrow(pack, packed_schema)
-    return packed.groupBy("dim", "i", "j").applyInArrow(unit, "a long, n long, b long")
+    return packed.groupBy("dim", "i", "j").applyInArrow(unit, UNIT_SCHEMA)
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -211,13 +200,5 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     members, one = classes(vectors, key, vector)
     one = saved(one, "classes", folder)
     found = saved(class_links(one, threshold, folder=folder, block=block, recall=recall), "links", folder)
-    degree = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b"), f"{folder}/components").withColumnsRenamed({"node": "rep"})
-    told = one.select("digest", "rep", "size").join(degree, "rep", "left").join(roots, "rep", "left")
-    told = told.select("digest", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("links"), F.coalesce("root", "rep").alias("root"))
-    known = members.join(told, "digest").select("id", "links", "root")
-    # Rows that share a key may hold different vectors; their links add up, and the least root holds.
-    known = known.groupBy("id").agg(F.max("links").alias("links"), F.min("root").alias("root"))
-    out = vectors.select(named(key).cast("long").alias("id")).join(known, "id", "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    items = vectors.select(named(key).cast("long").alias("id"))
+    return resolve(items, key, members, one, found, folder).drop("class_id")

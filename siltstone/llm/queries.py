@@ -17,6 +17,7 @@ from siltstone.llm.embedding_dedup import near_duplicates
 from siltstone.llm.frames import shared_dir
 from siltstone.llm.pii import AFTER, BEFORE, IP_VALID, KEEP_SCORE, KINDS, find_pii
 from siltstone.llm import quality, toxicity
+from siltstone.llm.jaccard_join import jaccard_join
 from siltstone.llm.labelled import fold
 from siltstone.llm.line_dedup import DEPTH, MIN_DOCS, MIN_TOKENS, SHARE, dedup_lines
 from siltstone.llm.secret_scan import BASE_RULES, RULES, find_secrets
@@ -208,6 +209,27 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by their five-word shingles."""
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s FROM w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS r(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+roots AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a),
+links AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT w.doc_id, CASE WHEN len(w) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY w) END AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, w.doc_id = c AS kept
+FROM w JOIN roots USING (doc_id) LEFT JOIN links USING (doc_id)
+"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored for quality."""
     docs = _read(spark, sf_dir, "documents")
@@ -285,9 +307,9 @@ FROM named
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this package, by name."""
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_embeddings": op3_embeddings, "op4_bpe": op4_bpe, "op5_jaccard": op5_jaccard, "op6_quality": op6_quality, "op7_lines": op7_lines, "op8_toxicity": op8_toxicity, "op9_secrets": op9_secrets, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those queries that SQL can express."""
-    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op3_embeddings": OP3_SQL, "op7_lines": OP7_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
+    return {"op1_pii": _op1_sql(), "op2_decontaminate": OP2_SQL, "op3_embeddings": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_lines": OP7_SQL, "op9_secrets": _op9_sql(), "op10_warc": OP10_SQL}
