@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,20 +110,28 @@ def _expired(meta: TableMetadata, older_than_ms: int, retain_last: int, ids: tup
 
 
 def _referenced(table: Table, meta: TableMetadata, snapshots: list[Snapshot]) -> tuple[set[str], set[str], DataFrame | None]:
-    """Manifest lists, manifests, and paths of files that snapshots hold (what a snapshot deleted it doesn't hold)."""
+    """Manifest lists, manifests, and paths of files that some of the snapshots holds (what it has deleted it doesn't hold)."""
     lists = {s.manifest_list for s in snapshots}
-    found = {m.path: m for x in lists for m in M.read_list(table.store, x)}
-    parts = [M.entries(table.spark, table.store, meta, list(found.values()), d).where(F.col("status") != DELETED).select("path") for d in (False, True)]
-    return lists, set(found), parts[0].unionByName(parts[1]).distinct() if found else None
+    read = {s.snapshot_id: M.read_list(table.store, s.manifest_list) for s in snapshots}
+    found = {m.path: m for own in read.values() for m in own}
+    if not found:
+        return lists, set(), None
+    of = table.spark.createDataFrame([(i, m.path.rsplit("/", 1)[1]) for i, own in read.items() for m in own], "snapshot long, manifest string")
+    parts = []
+    for deletes in (False, True):
+        own = [m for m in found.values() if m.deletes == deletes]
+        if own:
+            rows = M.entries(table.spark, table.store, meta, own, deletes)
+            parts.append(rows.select("path", (F.col("status") == DELETED).alias("gone"), F.col("_metadata.file_name").alias("manifest")))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    held = rows.join(of, "manifest").groupBy("snapshot", "path").agg(F.max("gone").alias("gone")).where("NOT gone")
+    return lists, set(found), held.select("path").distinct()
 
 
 def _name_below(table: Table, path: str) -> str | None:
     """A data file's name below the table's folder; None if it lies elsewhere."""
     prefix = f"{table.store.uri}/"
-    if not path.startswith(prefix):
-        return None
-    name = path[len(prefix) :]
-    return unquote(name) if prefix.startswith("file:") else name
+    return path[len(prefix) :] if path.startswith(prefix) else None
 
 
 def expire_snapshots(table: Table, older_than_ms: int | None = None, retain_last: int = 1, ids: tuple[int, ...] = (), delete_with: Callable[[str], None] | None = None) -> ExpireResult:
@@ -132,8 +139,6 @@ def expire_snapshots(table: Table, older_than_ms: int | None = None, retain_last
     between there are orphans, never holes."""
     if retain_last < 1:
         raise ValidationError("at least one snapshot must be retained")
-    from dataclasses import replace
-
     base = table.ops.refresh()
     limit = table.clock() - EXPIRE_AGE_MS if older_than_ms is None else older_than_ms
     gone = _expired(base, limit, retain_last, ids)
@@ -167,8 +172,7 @@ def remove_orphan_files(table: Table, older_than_ms: int | None = None, delete_w
     found = spark.createDataFrame([(n,) for n in old], "name string")
     if files is not None and old:
         prefix = f"{table.store.uri}/"
-        relative = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
-        held = files.where(F.col("path").startswith(prefix)).select((F.call_function("url_decode", F.regexp_replace(relative, r"\+", "%2B")) if prefix.startswith("file:") else relative).alias("name"))
+        held = files.where(F.col("path").startswith(prefix)).select(F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path")).alias("name"))
         found = found.join(held, "name", "left_anti")
     gone = sorted(r.name for r in found.toLocalIterator())
     drop = delete_with or (lambda name: table.store.delete(name))

@@ -23,6 +23,11 @@ if TYPE_CHECKING:
 _PATH, _POS = "_slt_path", "_slt_pos"
 
 
+def _plain(path: Column) -> Column:
+    """A path without the scheme of local files, which Spark spells with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def spec_filter(p: P.Predicate, specs: tuple[PartitionSpec, ...], kind_of) -> Column:
     """A bound predicate over entries of mixed specs: each is judged by its own partition fields."""
     out = F.lit(True)
@@ -135,7 +140,7 @@ class Scan:
         groups: dict[tuple[int, int], list[str]] = {}
         for path, sequence, schema_id in planned:
             groups.setdefault((schema_id, sum(sequence >= s for s in steps)), []).append(path)
-        gone = self.table.spark.read.parquet(*positions).select(F.col("file_path").alias(_PATH), F.col("pos").alias(_POS)) if positions else None
+        gone = self.table.spark.read.parquet(*positions).select(_plain(F.col("file_path")).alias(_PATH), F.col("pos").alias(_POS)) if positions else None
         parts = []
         for (schema_id, step), paths in sorted(groups.items()):
             later = [(s, f) for s, f in equality if step < len(steps) and s >= steps[step]]
@@ -169,7 +174,7 @@ class Scan:
             cols.append((F.col(f"`{old.name}`") if old else F.lit(None)).cast(f.spark).alias(f.name))
         cols += [(F.col(f"`{old.name}`") if (old := written.by_id(i)) else F.lit(None)).alias(self._name(i)) for i in sorted(asked) if not schema.by_id(i)]
         if positions:
-            cols += [F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.row_index").alias(_POS)]
+            cols += [_plain(F.col("_metadata.file_path")).alias(_PATH), F.col("_metadata.row_index").alias(_POS)]
         return df.select(*cols)
 
     def _equality(self, files: list[DataFile], ids: tuple[int, ...]) -> DataFrame:

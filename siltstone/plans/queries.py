@@ -1,22 +1,534 @@
-"""The registered queries over the table format, with the SQL that checks them."""
+"""The registered queries over the table format, with the DuckDB SQL that checks them.
+
+Each query builds the tables it needs in a new folder and returns rows that depend on the source data only.
+"""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions.predicates import col
+from siltstone.functions.transforms import Transform
+from siltstone.operators.planning import plan, split
+from siltstone.operators.table import Table
+from siltstone.sources.catalog import Catalog, scratch
+from siltstone.sources.metadata import DataFile, PartitionSpec
+from siltstone.sources.raw import column_bytes, csv_round_trip, read_merged, row_groups_kept
+from siltstone.sources.schema import Schema
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _by_day(s: Schema) -> PartitionSpec:
+    return PartitionSpec.builder(s).day("ts").build()
+
+
+def _filled(spark: SparkSession, df: DataFrame, spec: Callable[[Schema], PartitionSpec] | None = None, name: str = "t") -> Table:
+    t = scratch(spark).create(name, df, spec)
+    t.append(df)
+    return t
+
+
+def _events(spark: SparkSession, sf_dir: str) -> Table:
+    return _filled(spark, _read(spark, sf_dir, "events"), _by_day)
+
+
+EARLY, LATE = "2024-01-10T00:00:00", "2024-01-20T00:00:00"
+RANGE = (col("ts") >= EARLY) & (col("ts") < LATE)
+ROWS = "event_id, user_id, event_type, value"
+_PICK = ("event_id", "user_id", "event_type", "value")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events counted by type."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Events partitioned by day, scanned for a range of days and values, counted by type."""
+    rows = _events(spark, sf_dir).to_df(RANGE & (col("value") > 50))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Scans and predicates
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def full_scan_count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full scan of a partitioned table, counted by type."""
+    return _events(spark, sf_dir).to_df().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_type, count(*) AS n FROM events WHERE ts >= '{EARLY}' AND ts < '{LATE}' AND value > 50 GROUP BY event_type")
+def pruned_scan_count_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query."""
+    return entry(spark, sf_dir)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts >= '{EARLY}' AND ts < '{LATE}' AND value > 50")
+def filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a range of days above a value."""
+    return _events(spark, sf_dir).to_df(RANGE & (col("value") > 50)).select(*_PICK)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts < '{EARLY}' OR ts > '{LATE}'")
+def or_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ranges joined by or."""
+    return _events(spark, sf_dir).to_df((col("ts") < EARLY) | (col("ts") > LATE)).select(*_PICK)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE NOT (ts >= '{EARLY}' AND (ts < '{LATE}' OR value > 90))")
+def not_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A negated predicate, pushed down to its comparisons."""
+    return _events(spark, sf_dir).to_df(~((col("ts") >= EARLY) & ((col("ts") < LATE) | (col("value") > 90)))).select(*_PICK)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'click' AND user_id = 7")
+def not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons with = and !=."""
+    spec = lambda s: PartitionSpec.builder(s).identity("event_type").bucket("user_id", 4).build()
+    return _filled(spark, _read(spark, sf_dir, "events"), spec).to_df((col("event_type") != "click") & (col("user_id") == 7)).select(*_PICK)
+
+
+@query(f"SELECT count(DISTINCT epoch_us(ts) // 86400000000) AS files FROM events WHERE ts >= '{EARLY}' AND ts < '{LATE}'")
+def prune_files_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many days' files a range leaves (each day counts once, however many files it has)."""
+    return _events(spark, sf_dir).scan().filter(RANGE).plan(metrics=False).select(F.countDistinct("partition.`1000`").alias("files"))
+
+
+@query("SELECT count(DISTINCT epoch_us(ts) // 86400000000) AS files FROM events WHERE ts < '2024-01-03 00:00:00'")
+def projection_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict comparison with midnight leaves the days before only."""
+    return _events(spark, sf_dir).scan().filter(col("ts") < "2024-01-03T00:00:00").plan(metrics=False).select(F.countDistinct("partition.`1000`").alias("files"))
+
+
+@query("""SELECT (SELECT count(DISTINCT epoch_us(ts) // 86400000000) FROM events) AS live,
+          (SELECT count(*) FROM (SELECT max(user_id) AS m FROM events GROUP BY epoch_us(ts) // 86400000000) WHERE m > 148) AS by_bounds""")
+def metrics_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days left by bounds of a column that isn't partitioned by."""
+    scan = _events(spark, sf_dir).scan().filter(col("user_id") > 148)
+    day = F.countDistinct("partition.`1000`")
+    return scan.entries().select(day.alias("live")).crossJoin(scan.plan().select(day.alias("by_bounds")))
+
+
+# Transforms
+
+
+def _transformed(spark: SparkSession, sf_dir: str, table: str, key: str, column: str, t: str) -> DataFrame:
+    df = _read(spark, sf_dir, table)
+    return df.select(key, Transform.parse(t).column(F.col(column), df.schema[column].dataType).alias("v"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 86400000000 AS v FROM events")
+def day_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of times."""
+    return _transformed(spark, sf_dir, "events", "event_id", "ts", "day")
+
+
+@query("SELECT event_id, epoch_us(ts) // 3600000000 AS v FROM events")
+def hour_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of times."""
+    return _transformed(spark, sf_dir, "events", "event_id", "ts", "hour")
+
+
+@query("SELECT event_id, (xor(event_id, event_id >> 32) & 2147483647) % 16 AS v FROM events")
+def bucket_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of longs."""
+    return _transformed(spark, sf_dir, "events", "event_id", "event_id", "bucket[16]")
+
+
+@query("SELECT c_custkey, (c_nationkey & 2147483647) % 7 AS v FROM customer")
+def bucket_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of integers."""
+    return _transformed(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "bucket[7]")
+
+
+@query("""SELECT c_custkey, (list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(c_name, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 4294967295) & 2147483647) % 16 AS v FROM customer""")
+def bucket_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of strings."""
+    return _transformed(spark, sf_dir, "customer", "c_custkey", "c_name", "bucket[16]")
+
+
+@query("SELECT event_id, user_id - ((user_id % 10) + 10) % 10 AS v FROM events")
+def truncate_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longs down to tens."""
+    return _transformed(spark, sf_dir, "events", "event_id", "user_id", "truncate[10]")
+
+
+@query("SELECT event_id, left(event_type, 3) AS v FROM events")
+def truncate_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings cut to three characters."""
+    return _transformed(spark, sf_dir, "events", "event_id", "event_type", "truncate[3]")
+
+
+# Partitioned files and their statistics
+
+
+@query("SELECT l_returnflag AS p, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag")
+def identity_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per partition value, from metadata alone."""
+    t = _filled(spark, _read(spark, sf_dir, "lineitem"), lambda s: PartitionSpec.builder(s).identity("l_returnflag").build())
+    return t.files().groupBy(F.col("partition.`1000`").alias("p")).agg(F.sum("record_count").alias("n"))
+
+
+@query("""SELECT CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS d, CAST(count(*) AS BIGINT) AS n, min(event_id) AS lo, max(event_id) AS hi, min(event_type) AS lo_type, max(value) AS hi_value,
+          CAST(count(*) - count(props) AS BIGINT) AS nulls FROM events GROUP BY 1""")
+def stats_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds and counts per day, from metadata alone."""
+    return (
+        _events(spark, sf_dir).files().groupBy(F.col("partition.`1000`").alias("d"))
+        .agg(F.sum("record_count").alias("n"), F.min("lower.`1`").alias("lo"), F.max("upper.`1`").alias("hi"), F.min("lower.`4`").alias("lo_type"), F.max("upper.`5`").alias("hi_value"), F.sum("null_counts.`6`").alias("nulls"))
+    )
+
+
+# Changes
+
+
+@query(f"SELECT {ROWS} FROM events WHERE NOT (ts >= '{EARLY}' AND ts < '{LATE}')")
+def metadata_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole days deleted without reading a row."""
+    t = _events(spark, sf_dir)
+    t.delete_where(RANGE)
+    return t.to_df().select(*_PICK)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE NOT (ts >= '{EARLY}' AND value > 50)")
+def copy_on_write_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single rows deleted by writing their files anew."""
+    t = _events(spark, sf_dir)
+    t.delete_where((col("ts") >= EARLY) & (col("value") > 50), mode="copy_on_write")
+    return t.to_df().select(*_PICK)
+
+
+@query(f"SELECT event_id, value FROM events WHERE NOT (ts >= '{EARLY}' AND ts < '{LATE}') UNION ALL SELECT event_id, -value FROM events WHERE ts >= '{EARLY}' AND ts < '{LATE}' AND event_type = 'click'")
+def overwrite_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days replaced by other rows in one snapshot."""
+    t = _events(spark, sf_dir)
+    new = _read(spark, sf_dir, "events").where(f"ts >= '{EARLY}' AND ts < '{LATE}' AND event_type = 'click'").withColumn("value", -F.col("value"))
+    change = t.new_overwrite()
+    change.append(new)
+    change.delete_matching(RANGE).commit()
+    return t.to_df().select("event_id", "value")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 10 <> 3")
+def row_delta_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows deleted by file and position."""
+    t = _events(spark, sf_dir)
+    paths = [f.path for f in t.scan().files()]
+    doomed = spark.read.parquet(*paths).where("event_id % 10 = 3").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("pos"))
+    t.new_row_delta().delete_positions(doomed).commit()
+    return t.to_df().select(*_PICK)
+
 
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id >= 20 UNION ALL SELECT event_id, user_id, event_type, 0.0 FROM events WHERE user_id = 5")
+def row_delta_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows deleted by key while others of the same key arrive in the same commit, which stay."""
+    t = _events(spark, sf_dir)
+    keys = _read(spark, sf_dir, "events").where("user_id < 20").select("user_id").distinct()
+    change = t.new_row_delta()
+    change.append(_read(spark, sf_dir, "events").where("user_id = 5").withColumn("value", F.lit(0.0)))
+    change.delete_equal(keys).commit()
+    return t.to_df().select(*_PICK)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+# Snapshots
+
+
+def _two_batches(spark: SparkSession, sf_dir: str, clock: Callable[[], int] | None = None) -> Table:
+    df = _read(spark, sf_dir, "events")
+    catalog = scratch(spark)
+    if clock:
+        catalog = Catalog(spark, catalog.warehouse, clock)
+    t = catalog.create("t", df, _by_day)
+    t.append(df.where(f"ts < '{EARLY}'"))
+    t.append(df.where(f"ts >= '{EARLY}'"))
+    return t
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts < '{EARLY}'")
+def time_travel_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as of its first snapshot."""
+    t = _two_batches(spark, sf_dir)
+    return t.scan().use_snapshot(t.metadata.snapshots[0].snapshot_id).to_df().select(*_PICK)
+
+
+def _ticking() -> Callable[[], int]:
+    ticks = iter(range(1000, 1_000_000, 1000))
+    return lambda: next(ticks)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts < '{EARLY}'")
+def time_travel_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as of a time between its snapshots."""
+    t = _two_batches(spark, sf_dir, _ticking())
+    return t.scan().as_of(t.metadata.log[0][0] + 1).to_df().select(*_PICK)
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts < '{EARLY}'")
+def rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table after going back to its first snapshot."""
+    t = _two_batches(spark, sf_dir)
+    t.rollback(t.metadata.snapshots[0].snapshot_id)
+    return t.to_df().select(*_PICK)
+
+
+@query("SELECT * FROM (VALUES (1, 'append', '0'), (2, 'append', '1'), (3, 'delete', '1'), (4, 'overwrite', '1')) AS v(sequence, operation, has_parent)")
+def snapshots_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a table's snapshots."""
+    t = _two_batches(spark, sf_dir)
+    t.delete_where(col("ts") < EARLY)
+    change = t.new_overwrite()
+    change.append(_read(spark, sf_dir, "events").where(f"ts < '{EARLY}'"))
+    change.delete_matching(col("ts") >= LATE).commit()
+    return t.snapshots().select(F.col("sequence").cast("int").alias("sequence"), "operation", F.col("parent_id").isNotNull().cast("int").cast("string").alias("has_parent"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 IN (0, 1)")
+def concurrent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers append at once; both snapshots come about."""
+    df = _read(spark, sf_dir, "events")
+    catalog = scratch(spark)
+    catalog.create("t", df, _by_day)
+    failed: list[BaseException] = []
+
+    def write(rest: int) -> None:
+        try:
+            catalog.load("t").append(df.where(f"event_id % 3 = {rest}"))
+        except BaseException as e:  # noqa: BLE001 - raised again below
+            failed.append(e)
+
+    writers = [threading.Thread(target=write, args=(k,)) for k in (0, 1)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    if failed:
+        raise failed[0]
+    return catalog.load("t").to_df().select(*_PICK)
+
+
+# Evolution
+
+
+@query("SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS c_note FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 'new' FROM customer WHERE c_custkey % 2 = 1")
+def schema_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column added between two batches."""
+    df = _read(spark, sf_dir, "customer")
+    t = _filled(spark, df.where("c_custkey % 2 = 0"))
+    t.update_schema().add("c_note", "string").commit()
+    t.append(df.where("c_custkey % 2 = 1").withColumn("c_note", F.lit("new")))
+    return t.to_df().select("c_custkey", "c_name", "c_note")
+
+
+@query("SELECT c_custkey, c_name AS c_title FROM customer WHERE c_acctbal > 0")
+def schema_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column renamed after its rows were written, and another that takes over a name."""
+    df = _read(spark, sf_dir, "customer")
+    t = _filled(spark, df)
+    t.update_schema().rename("c_name", "c_title").rename("c_acctbal", "c_balance").commit()
+    t.update_schema().add("c_acctbal", "double").commit()
+    return t.to_df(col("c_balance") > 0).select("c_custkey", "c_title")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def schema_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column deleted after its rows were written."""
+    t = _filled(spark, _read(spark, sf_dir, "customer"))
+    t.update_schema().delete("c_nationkey").commit()
+    return t.to_df().select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+
+
+@query(f"SELECT {ROWS} FROM events WHERE ts >= '2024-01-09 10:00:00' AND ts < '2024-01-12 11:00:00'")
+def spec_evolution_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan over files by day and files by hour."""
+    df = _read(spark, sf_dir, "events")
+    t = _filled(spark, df.where(f"ts < '{EARLY}'"), _by_day)
+    t.update_spec().remove("ts_day").add("ts", "hour").commit()
+    t.append(df.where(f"ts >= '{EARLY}' AND ts < '2024-01-13'"))
+    t.update_spec().remove("ts_hour").commit()
+    t.append(df.where("ts >= '2024-01-13'"))
+    return t.to_df((col("ts") >= "2024-01-09T10:00:00") & (col("ts") < "2024-01-12T11:00:00")).select(*_PICK)
+
+
+# Maintenance
+
+
+def _many_files(spark: SparkSession, sf_dir: str) -> Table:
+    df = _read(spark, sf_dir, "customer")
+    t = scratch(spark).create("t", df)
+    for k in range(4):
+        t.append(df.where(f"c_custkey % 4 = {k}").coalesce(1))
+    return t
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, 4 AS files_before, 1 AS files_after FROM customer")
+def compact_preserves_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small files rewritten as one."""
+    t = _many_files(spark, sf_dir)
+    done = t.rewrite_data_files()
+    left = len(t.scan().files())
+    return t.to_df().select("c_custkey", "c_name", "c_acctbal", F.lit(done.rewritten).alias("files_before"), F.lit(left).alias("files_after"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 <> 0")
+def compact_applies_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row deletes become part of the rewritten files."""
+    t = _many_files(spark, sf_dir)
+    t.new_row_delta().delete_equal(_read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select("c_custkey")).commit()
+    t.rewrite_data_files()
+    return t.to_df().select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name, 4 AS expired, 4 AS data_files FROM customer")
+def expire_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old snapshots and the files only they hold go; the current rows stay."""
+    t = _many_files(spark, sf_dir)
+    t.rewrite_data_files()
+    done = t.expire_snapshots(older_than_ms=t.clock() + 1)
+    return t.to_df().select("c_custkey", "c_name", F.lit(done.snapshots).alias("expired"), F.lit(done.data_files).alias("data_files"))
+
+
+@query("SELECT c_custkey, c_name, 1 AS orphans FROM customer")
+def orphan_cleanup_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that no snapshot refers to goes."""
+    t = _many_files(spark, sf_dir)
+    t.store.write("data/left-behind.parquet", "not in the table")
+    gone = t.remove_orphan_files(older_than_ms=t.clock() + 1000)
+    return t.to_df().select("c_custkey", "c_name", F.lit(len([g for g in gone if g.endswith(".parquet")])).alias("orphans"))
+
+
+# Planning reports and raw files
+
+
+@query("SELECT * FROM (VALUES (0, 800, 1), (1, 800, 1), (2, 300, 1)) AS v(task, size, files)")
+def bin_packing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing with one open bin: the heavier goes out first."""
+    tasks = plan([DataFile(f"f{i}", 1, n) for i, n in enumerate((800, 300, 800))], 1000, 1, 0)
+    return spark.createDataFrame([(i, t.size, len(t.tasks)) for i, t in enumerate(tasks)], "task int, size int, files int")
+
+
+@query("SELECT * FROM (VALUES (0, 0, 100), (1, 100, 100), (2, 200, 50), (3, 4, 96), (4, 100, 150)) AS v(task, start, length)")
+def split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a fixed size without row-group offsets, row groups with them."""
+    tasks = split(DataFile("a", 1, 250), 100) + split(DataFile("b", 1, 250, split_offsets=(4, 100)), 1000)
+    return spark.createDataFrame([(i, t.start, t.length) for i, t in enumerate(tasks)], "task int, start int, length int")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows written as CSV with a header and read back."""
+    return csv_round_trip(_read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+
+
+@query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS n_note FROM nation UNION ALL SELECT n_nationkey + 100, n_name, 'v2' FROM nation")
+def raw_merge_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain files of two schemas read together."""
+    v1 = _read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    v2 = v1.select((F.col("n_nationkey") + 100).cast(v1.schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name", F.lit("v2").alias("n_note"))
+    return read_merged(spark, [v1, v2]).select("n_nationkey", "n_name", "n_note")
+
+
+@query("SELECT true AS fewer_groups, true AS fewer_bytes, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_id >= (SELECT max(event_id) * 3 // 4 FROM events)")
+def row_group_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row groups and column bytes that a filtered two-column read leaves out."""
+    df = _read(spark, sf_dir, "events").orderBy("event_id").coalesce(1)
+    t = scratch(spark).create("t", df)
+    t.append(df, options={"parquet.block.size": str(32 << 10), "parquet.page.size": str(8 << 10)})
+    limit = df.agg(F.max("event_id")).first()[0] * 3 // 4
+    kept, groups = row_groups_kept(t, col("event_id") >= limit)
+    some, whole = column_bytes(t, ["event_id", "value"]), column_bytes(t)
+    n = t.to_df(col("event_id") >= limit).count()
+    return spark.createDataFrame([(kept < groups, some < whole, n)], "fewer_groups boolean, fewer_bytes boolean, n long")
+
+
+# The engine's own queries over scans
+
+
+@query("SELECT count(*) AS n FROM customer")
+def adapter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting all rows of a scan registered as a view."""
+    _many_files(spark, sf_dir).to_df().createOrReplaceTempView("slt_customers")
+    return spark.sql("SELECT count(*) AS n FROM slt_customers")
+
+
+@query("SELECT count(*) AS n FROM customer WHERE c_acctbal > 5000")
+def adapter_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting the rows of a filtered scan."""
+    return _many_files(spark, sf_dir).to_df(col("c_acctbal") > 5000.0).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+def adapter_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouping a scan."""
+    return _many_files(spark, sf_dir).to_df().groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM customer WHERE c_acctbal > 9000")
+def adapter_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a filtered scan."""
+    return _many_files(spark, sf_dir).to_df(col("c_acctbal") > 9000.0)
+
+
+@query("SELECT true AS pushed, true AS pruned")
+def adapter_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the plan of a filtered scan shows: the filter reaches Parquet, and only the columns asked for are read."""
+    df = _many_files(spark, sf_dir).to_df(col("c_acctbal") > 5000.0).select("c_custkey")
+    text = df._jdf.queryExecution().toString()
+    pushed, schema = "GreaterThan(c_acctbal,5000.0)" in text, text.split("ReadSchema: ")[-1].split("\n")[0]
+    return spark.createDataFrame([(pushed, "c_custkey" in schema and "c_name" not in schema)], "pushed boolean, pruned boolean")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of files appended batch by batch, each once."""
+    from siltstone.streaming.sink import append_stream
+
+    df = _read(spark, sf_dir, "events")
+    catalog = scratch(spark)
+    t = catalog.create("t", df, _by_day)
+    folder = f"{catalog.warehouse}/stream"
+    for k in range(2):
+        df.where(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    append_stream(stream, t, "events", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.refresh().to_df().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'a' AS name, 0 AS exists_before, 1 AS exists_after, 1 AS dropped, 0 AS exists_last")
+def catalog_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create, look up and drop a table."""
+    catalog = scratch(spark)
+    before = catalog.exists("ns.a")
+    catalog.create("ns.a", Schema.of(("id", "long")))
+    after, dropped = catalog.exists("ns.a"), catalog.drop("ns.a")
+    return spark.createDataFrame([("a", int(before), int(after), int(dropped), int(catalog.exists("ns.a")))], "name string, exists_before int, exists_after int, dropped int, exists_last int")
+
+
+def queries() -> dict[str, Query]:
     """Every query of this module, by name."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries."""
-    return {}
+    return dict(_SQL)
+
+

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -86,8 +87,8 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def uri_of(store: LocalStore, name: str) -> str:
-    """A file's path as Spark's file metadata spells it."""
-    return f"{store.uri}/{quote(name, safe='/=-_.~')}" if store.uri.startswith("file:") else f"{store.uri}/{name}"
+    """A file's path as Spark's file metadata spells it (stores refuse roots that would be escaped)."""
+    return f"{store.uri}/{name}"
 
 
 def footer(path: str) -> dict:
@@ -153,12 +154,11 @@ def describe(spark: SparkSession, store: LocalStore, names: list[str], schema: S
     """Describe written files. On a local path footers are read, by tasks if there are many; elsewhere Spark aggregates the files."""
     if not isinstance(store, LocalStore):
         return _describe_by_scan(spark, store, names, schema, spec, content, equality_ids)
-    root, sizes = store.root, {n: s for n, s, _ in store.list("data")}
+    root, sizes = store.root, {n: os.path.getsize(f"{store.root}/{n}") for n in names}
     if len(names) <= DRIVER_FOOTERS:
         with ThreadPoolExecutor(8) as pool:
             read = list(pool.map(lambda n: footer(f"{root}/{n}"), names))
     else:
-        import json
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -8,11 +8,11 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
-from urllib.parse import urlparse
+from urllib.parse import quote, urlparse
 
 from pyspark.sql import SparkSession
 
-from siltstone.errors import CommitFailed
+from siltstone.errors import CommitFailed, ValidationError
 
 
 class LocalStore:
@@ -21,6 +21,8 @@ class LocalStore:
     def __init__(self, root: str) -> None:
         path = urlparse(root).path if root.startswith("file:") else root
         self.root = os.path.abspath(path)
+        if quote(self.root) != self.root:
+            raise ValidationError(f"{self.root}: a table's folder needs plain characters, else Spark spells it in two ways")
         #: The root as Spark's file metadata spells it.
         self.uri = f"file://{self.root}"
 
@@ -66,7 +68,10 @@ class LocalStore:
         out = []
         for d, _, names in os.walk(self._at(folder)):
             for n in names:
-                s = os.stat(os.path.join(d, n))
+                try:
+                    s = os.stat(os.path.join(d, n))
+                except FileNotFoundError:
+                    continue  # another writer's temporary file
                 out.append((os.path.relpath(os.path.join(d, n), self.root), s.st_size, int(s.st_mtime * 1000)))
         return out
 
