@@ -261,4 +261,4 @@ def decontaminate(
             df = flush(df)
     if ids or not done:
         df = flush(df)
-    return df.drop(carried)
+    return df.select(*(named(c) for c in df.columns if c != carried))

@@ -80,7 +80,7 @@ def map_batches(
     kept = [c for c in dict.fromkeys(keep) if c.lower() not in names]
     more = [c for c in inputs if c not in kept]
     place = {c: i for i, c in enumerate([*kept, *more])}
-    aliased = [named(c) for c in kept] + [named(c).alias(f"_input_{i}") for i, c in enumerate(more)]
+    aliased = [named(c).alias(f"_input_{i}") for i, c in enumerate([*kept, *more])]  # any name goes in and comes out
     schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(k, t) for k, t in outputs.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
