@@ -112,13 +112,15 @@ class Network:
         A text shorter than a filter is read as if zeros followed.
         """
         n, m = len(at) - 1, len(rows)
-        x = np.zeros((m + n * (max(WIDTHS) - 1) + 1, DIM), np.float32)
-        # Zeros between the texts, so that no window reaches into the next.
-        pad = max(WIDTHS) - 1
+        # Zeros between the texts; windows begin at words (of an empty text at its first zero), so none reaches into the next text.
+        pad = max(WIDTHS)
+        x = np.zeros((m + n * pad, DIM), np.float32)
         place = np.arange(m) + np.repeat(np.arange(n), np.diff(at)) * pad
         for k in range(rows.shape[1]):
             x[place] += self.table[rows[:, k]]
         base = at[:-1] + np.arange(n) * pad
+        begins = np.zeros(len(x), bool)
+        begins[place] = begins[base] = True
         y = x @ self.filters
         pooled, where = np.zeros((n, len(WIDTHS) * FILTERS), np.float32), np.zeros((n, len(WIDTHS) * FILTERS), np.int64)
         col = 0
@@ -127,6 +129,7 @@ class Network:
             for j in range(1, w):
                 z[:-j] += y[j:, col + j * FILTERS : col + (j + 1) * FILTERS]
             col += w * FILTERS
+            z[~begins] = -np.inf
             top = np.maximum.reduceat(z, base) if n else z[:0]
             pooled[:, i * FILTERS : (i + 1) * FILTERS] = top
             if self._trace:
