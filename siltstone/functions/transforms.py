@@ -18,6 +18,7 @@ from siltstone.sources.schema import bound_kind
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
 INT_MAX = 2_147_483_647
+LONG_MIN = -(1 << 63)
 
 
 def micros(col: Column, kind: T.DataType) -> Column:
@@ -91,15 +92,19 @@ class Transform:
         if self.name == "identity":
             return stored(col, kind)
         if self.name == "truncate":
-            return F.substring(col, 1, self.arg) if isinstance(kind, T.StringType) else col.cast("long") - F.pmod(col.cast("long"), F.lit(self.arg).cast("long"))
+            if isinstance(kind, T.StringType):
+                return F.substring(col, 1, self.arg)
+            value = col.cast("long")
+            lower = F.try_subtract(value, F.pmod(value, F.lit(self.arg).cast("long")))
+            return F.when(value.isNotNull(), F.coalesce(lower, F.lit(LONG_MIN)))
         if self.name == "bucket":
             return (_java_hash(col, kind).bitwiseAND(F.lit(INT_MAX)) % self.arg).cast("long")
         if isinstance(kind, (T.DateType, T.IntegerType)):  # already days
             return F.unix_date(col).cast("long") if isinstance(kind, T.DateType) else col.cast("long")
         unit = F.lit(DAY if self.name == "day" else HOUR).cast("long")
         at = micros(col, kind)
-        # Whole numbers throughout: a double can't hold all microseconds.
-        return F.call_function("div", at - F.pmod(at, unit), unit)
+        # Whole numbers throughout, rounded down: a double can't hold all microseconds.
+        return F.call_function("div", at, unit) - F.when(at % unit < 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
     def literal(self, value: int | float | str | None, kind: T.DataType) -> int | float | str | None:
         """The transform of one stored value of a column of a type."""
@@ -107,7 +112,7 @@ class Transform:
         if value is None or self.name == "identity":
             return value
         if self.name == "truncate":
-            return value[: self.arg] if isinstance(kind, T.StringType) else value - value % self.arg
+            return value[: self.arg] if isinstance(kind, T.StringType) else max(LONG_MIN, value - value % self.arg)
         if self.name == "bucket":
             return (java_hash(value, kind) & INT_MAX) % self.arg
         if isinstance(kind, (T.DateType, T.IntegerType)):
