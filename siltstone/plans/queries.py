@@ -15,6 +15,7 @@ from siltstone.functions.predicates import col
 from siltstone.functions.transforms import Transform
 from siltstone.operators.planning import plan, split
 from siltstone.operators.table import Table
+from siltstone.plans.sql_filters import where
 from siltstone.sources.catalog import Catalog, scratch
 from siltstone.sources.metadata import DataFile, PartitionSpec
 from siltstone.sources.raw import column_bytes, csv_round_trip, read_merged, row_groups_kept
@@ -496,6 +497,12 @@ def adapter_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(pushed, "c_custkey" in schema and "c_name" not in schema)], "pushed boolean, pruned boolean")
 
 
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE ts BETWEEN '2024-01-10' AND '2024-01-12' AND (user_id IN (3, 4, 5) OR value > 90.5) AND event_type LIKE '%c%'")
+def adapter_sql_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter given as SQL text: what metadata can judge prunes files, the rest filters rows."""
+    return where(_events(spark, sf_dir), "ts BETWEEN '2024-01-10' AND '2024-01-12' AND (user_id IN (3, 4, 5) OR value > 90.5) AND event_type LIKE '%c%'").select(*_PICK)
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of files appended batch by batch, each once."""
