@@ -73,18 +73,17 @@ class Scan:
         return P.bind(self.predicate, self.table.metadata.schema)
 
     def _entries(self, deletes: bool) -> DataFrame | None:
+        """Live entries of data files or of delete files; None if there are no manifests of them."""
         s = self.snapshot
-        if s is None:
+        found = [m for m in M.read_list(self.table.store, s.manifest_list) if m.deletes == deletes] if s else []
+        if not found:
             return None
-        found = M.read_list(self.table.store, s.manifest_list)
-        if not any(m.deletes == deletes for m in found):
-            return None
-        return M.entries(self.table.spark, self.table.store, self.table.metadata, found, deletes)
+        return M.live(M.entries(self.table.spark, self.table.store, self.table.metadata, found, deletes), found)
 
     def entries(self) -> DataFrame:
         """Live data files as a DataFrame of metadata, without the predicate."""
         found = self._entries(False)
-        return M.live(found) if found is not None else self.table.spark.createDataFrame([], M.entry_type(self.table.metadata))
+        return found if found is not None else self.table.spark.createDataFrame([], M.entry_type(self.table.metadata))
 
     def _kind(self, field_id: int) -> T.DataType | None:
         return next((f.spark for s in reversed(self.table.metadata.schemas) if (f := s.by_id(field_id))), None)
@@ -107,7 +106,7 @@ class Scan:
         found = self._entries(True)
         if found is None:
             return []
-        rows = M.live(found).drop("status", "snapshot_id").collect()
+        rows = found.drop("status", "snapshot_id").collect()
         return sorted(((r["sequence"], M.file_of(r)) for r in rows), key=lambda x: (x[0], x[1].path))
 
     def tasks(self, size: int = planning.SPLIT_SIZE, lookback: int = planning.LOOKBACK, open_cost: int = planning.OPEN_COST) -> list[planning.CombinedTask]:
