@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
-Every step maps edges to edges by a grouped minimum and a join, so hubs are summed up before the
-exchange and no neighbourhood or component is collected. Edges are written in the shared folder between
+Every step maps edges to edges by a grouped minimum and a salted join, so hubs are summed up before the
+exchange, their edges are spread over tasks, and no neighbourhood or component is collected. Edges are written in the shared folder between
 rounds; the driver only sees their number.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.frames import saved, shared_dir
+from siltstone.llm.frames import discard, salted_join, saved, shared_dir
 
 MAX_ROUNDS = 60
 
@@ -20,13 +20,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    return salted_join(both.where("v > u"), least, ["u"], "v").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    linked = edges.join(least, "b")
+    linked = salted_join(edges, least, ["b"], "a")
     return linked.select(F.col("m").alias("a"), F.col("b")).unionByName(linked.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct()
 
 
@@ -44,6 +44,7 @@ def components(edges: DataFrame, folder: str | None = None) -> DataFrame:
         now = saved(_small_star(_large_star(now)), f"round{i}", folder)
         # A star forest stays as it is; the sums tell whether anything changed.
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(edges.sparkSession, f"{folder}/round{i - 1}")
         if tuple(mark) == seen:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
         seen = tuple(mark)

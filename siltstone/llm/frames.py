@@ -47,11 +47,33 @@ def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate folder that nothing will read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def named(name: str) -> Column:
     """The column of exactly this name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+SALTS = 16
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """An inner join of many rows with a row per key (a grouped result), where one key may have most of the rows.
+
+    A key's rows on the left are spread over ``SALTS`` tasks by the column ``spread``; the right's narrow rows are copied
+    for each. Without this, rows would go where the grouping left its key: all of a hot key's to one task.
+    """
+    salt = "_salt"
+    many = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    one = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = many.join(one.hint("merge"), [*on, salt])  # never broadcast: nothing bounds the number of keys
+    return out.select(*(c for c in out.columns if c != salt))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most ``BATCH_ROWS`` rows, unless the session has a setting of its own.
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, blocks, grams, mix, words
 from siltstone.llm.components import components
-from siltstone.llm.frames import map_batches, named, saved, shared_dir, small_batches
+from siltstone.llm.frames import discard, map_batches, named, salted_join, saved, shared_dir, small_batches
 from siltstone.llm.linking import UNIT_SCHEMA, resolve, unit_rows
 
 SHINGLE = 5
@@ -142,7 +142,7 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, thresh
     """The units' rows between classes: see ``linking``."""
     label = classes.select("rep", F.posexplode("keys").alias("tree", "prefix"))
     buckets = label.groupBy("tree", "prefix").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    stars = label.join(buckets, ["tree", "prefix"]).where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    stars = salted_join(label, buckets, ["tree", "prefix"], "rep").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
     groups = components(stars, f"{folder}/candidates")
     near = classes.join(groups.withColumnRenamed("node", "rep"), "rep").select("rep", "size", "n", "keys", "root")
     near = saved(near, "near", folder)
@@ -152,7 +152,7 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, thresh
     total = near.agg(F.sum("n")).first()[0] or 0
     deals = int(max(1, -(-total // block_words)))
     own = F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int")
-    placed = near.join(shape, "root").withColumn("own", own)
+    placed = salted_join(near, shape, ["root"], "rep").withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     placed = placed.select("rep", "size", "keys", "root", "own", "cuts", other.alias("k"))
     placed = placed.select(
@@ -202,5 +202,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     one = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     one = saved(one, "classes", folder)
     found = saved(class_links(docs, one, key, text, threshold, folder, block_texts=block_texts, block_words=block_words), "links", folder)
+    discard(docs.sparkSession, f"{folder}/near")
+    discard(docs.sparkSession, f"{folder}/candidates")
     items = docs.select(named(key).cast("long").alias("id"))
     return resolve(items, key, signed.select("id", "digest"), one, found, folder)

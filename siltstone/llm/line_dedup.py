@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, RangeHasher, blocks, mix, ranges_of
-from siltstone.llm.frames import fresh, map_batches, named, saved, shared_dir
+from siltstone.llm.frames import fresh, map_batches, named, salted_join, saved, shared_dir
 
 DEPTH = 4
 MIN_TOKENS = 3
@@ -103,7 +103,7 @@ def recurring(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, sh
     kinds = every.groupBy("leaf", "c").agg(F.sum("one").alias("docs"), F.min(F.struct("k", "n")).alias("rep"))
     kinds = saved(kinds, "contents", folder)
     leaves = kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("many")).where((F.col("total") >= min_docs) & (F.col("many") > 1)).select("leaf")
-    mixed = kinds.join(leaves, "leaf")
+    mixed = salted_join(kinds, leaves, ["leaf"], "c")
 
     # Tokens of one line of each content, read from the document that has it.
     wanted = mixed.groupBy(F.col("rep.k").alias("k")).agg(F.collect_list(F.struct(F.col("rep.n").alias("n"), "leaf", "c", "docs")).alias("w"))
@@ -129,13 +129,13 @@ def recurring(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, sh
     found = saved(found, "tokens", folder)
     each = found.select("leaf", "c", "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("p", "token")).where(F.col("p") >= DEPTH)
     constants = each.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs).drop("s")
-    rare = each.where(F.col("docs") < min_docs).join(constants, ["leaf", "p", "token"])
+    rare = salted_join(each.where(F.col("docs") < min_docs), constants, ["leaf", "p", "token"], "c")
     rare = rare.groupBy("leaf", "c", "size").agg(F.count(F.lit(1)).alias("same")).where(F.col("same") + F.least(F.col("size"), F.lit(DEPTH)) >= share * F.col("size"))
     short = found.where((F.col("docs") < min_docs) & (F.size("tokens") * share <= DEPTH)).select("leaf", "c")
     instances = rare.select("leaf", "c").unionByName(short).distinct()
     instances = kinds.join(instances, ["leaf", "c"]).unionByName(kinds.where(F.col("docs") >= min_docs))
     heads = instances.groupBy("leaf").agg(F.min("rep").alias("head"), F.sum("docs").alias("total")).where(F.col("total") >= min_docs)
-    told = instances.select("leaf", "c").join(heads.select("leaf", "head"), "leaf")
+    told = salted_join(instances.select("leaf", "c"), heads.select("leaf", "head"), ["leaf"], "c")
     gone = every.join(told, ["leaf", "c"]).where((F.col("k") != F.col("head.k")) | (F.col("n") != F.col("head.n"))).select("k", "n", "c")
 
     def code(n: pa.Array, c: pa.Array) -> dict[str, pa.Array]:

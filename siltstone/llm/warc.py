@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import named
+from siltstone.llm.frames import named, salted_join
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
@@ -122,7 +122,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     # Who refers to whom: only ids and digests are shuffled, summed up before the exchange.
     marks = rows.where(F.length("body") >= min_bytes).select("key", F.sha2("body", 256).alias("sha"), F.length("body").alias("n"))
     heads = marks.groupBy("sha", "n").agg(F.max("key").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    revisits = marks.join(heads, ["sha", "n"]).where("key < head").select("key", "head").distinct()
+    revisits = salted_join(marks, heads, ["sha", "n"], "key").where("key < head").select("key", "head").distinct()
     told = rows.join(revisits, "key", "left")
     schema = T.StructType([T.StructField("record", T.BinaryType())])
 
