@@ -157,6 +157,10 @@ class HadoopStore:
 
 
 def store_for(spark: SparkSession, location: str) -> LocalStore | HadoopStore:
-    """The store of a location: local for plain paths and file: URIs."""
+    """The store of a location: local for file: URIs, and for plain paths where the cluster's default store is local."""
     scheme = urlparse(location).scheme
-    return LocalStore(location) if scheme in ("", "file") else HadoopStore(spark, location)
+    if not scheme:
+        default = spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        scheme = urlparse(default).scheme
+        location = location if scheme == "file" else f"{default.rstrip('/')}{location}"
+    return LocalStore(location) if scheme == "file" else HadoopStore(spark, location)
