@@ -15,6 +15,7 @@ from siltstone.functions.predicates import col
 from siltstone.functions.transforms import Transform
 from siltstone.operators.planning import plan, split
 from siltstone.operators.table import Table
+from siltstone.operators.task_reader import task_df
 from siltstone.plans.sql_filters import where
 from siltstone.sources.catalog import Catalog, scratch
 from siltstone.sources.metadata import DataFile, PartitionSpec
@@ -488,6 +489,14 @@ def adapter_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _many_files(spark, sf_dir).to_df(col("c_acctbal") > 9000.0)
 
 
+@query("SELECT c_custkey, c_name, 4 AS tasks FROM customer WHERE c_acctbal > 0")
+def adapter_task_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan whose partitions are the plan's combined tasks."""
+    scan = _many_files(spark, sf_dir).scan().filter(col("c_acctbal") > 0.0)
+    df = task_df(scan, size=1 << 20, lookback=1, open_cost=1 << 20)
+    return df.select("c_custkey", "c_name", F.lit(df.rdd.getNumPartitions()).alias("tasks"))
+
+
 @query("SELECT true AS pushed, true AS pruned")
 def adapter_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the plan of a filtered scan shows: the filter reaches Parquet, and only the columns asked for are read."""

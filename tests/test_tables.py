@@ -530,3 +530,22 @@ def test_stream_batches_are_appended_once(spark, catalog):
     run(df, 0)
     run(df, 1)
     assert t.to_df().count() == 2
+
+
+def test_reading_task_by_task(spark, catalog):
+    from siltstone.operators.task_reader import task_df
+
+    df = spark.range(5000).selectExpr("id", "concat('n', id % 7) name", "id % 90 age", "timestamp_seconds(id) z", "timestamp_ntz'2024-01-01' n", "cast(id as decimal(9,1)) d").coalesce(1)
+    t = catalog.create("t", df)
+    t.append(df, options={"parquet.block.size": str(16 << 10), "parquet.page.size": str(2 << 10)})
+    t.update_schema().rename("name", "title").add("extra", "int").commit()
+    t.append(df.withColumnRenamed("name", "title").withColumn("extra", F.lit(1)).limit(10))
+    for size in (1 << 10, 1 << 14, 1 << 27):
+        got = task_df(t.scan(), size, 3, 0)
+        assert got.rdd.getNumPartitions() == len(t.scan().tasks(size, 3, 0))
+        assert got.count() == 5010 and got.exceptAll(t.to_df()).count() == 0
+    assert task_df(t.scan().filter(col("age") > 80)).count() == t.to_df(col("age") > 80).count()
+    assert task_df(catalog.create("none", df).scan()).count() == 0
+    t.new_row_delta().delete_equal(spark.createDataFrame([(1,)], "id long")).commit()
+    with pytest.raises(ValidationError):
+        task_df(t.scan())
