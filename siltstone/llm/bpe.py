@@ -9,14 +9,15 @@ one. The last pre-token a chunk sees may be cut off by its end, so boundaries ne
 Pieces that begin and end at true boundaries are then encoded by the vocabulary's ranks. Decoding
 concatenates the raw bytes of the tokens.
 
-Chunks of long texts are dealt over tasks twice, to be pre-tokenised and, as pieces, to be encoded; a text's
-own chunks meet only as lists of boundaries and as ids.
+The chunks of a text of over ``deal`` characters are dealt over tasks to be pre-tokenised and meet again to be
+stitched; a shorter text's chunks are worked off in the task that reads it, where sending them would cost more.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from siltstone.llm.frames import fresh, map_batches, named
 
 CHUNK = 32_768
 OVERLAP = 2_048
+DEAL = 1 << 20
 
 
 def read_ranks(path: str) -> bytes:
@@ -43,8 +45,7 @@ class Codec:
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
-        self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self.split = regex.compile(pattern)
+        self.table, self.pattern = table, pattern
         n = max(table.values()) + 1
         self.size = np.zeros(n, np.int64)
         for token, i in table.items():
@@ -52,9 +53,17 @@ class Codec:
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(t for t, _ in sorted(table.items(), key=lambda x: x[1])), np.uint8)
 
+    @cached_property
+    def encoding(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("given", pat_str=self.pattern, mergeable_ranks=self.table, special_tokens={})
+
+    @cached_property
+    def split(self) -> regex.Pattern:
+        return regex.compile(self.pattern)
+
     def encode_piece(self, piece: str) -> np.ndarray:
         """Ids of a text that begins and ends at boundaries."""
-        return self.encoding.encode_to_numpy(piece, disallowed_special=()).astype(np.uint32, copy=False)
+        return np.array(self.encoding.encode_ordinary(piece), np.uint32)
 
     def boundaries(self, text: str) -> list[int]:
         """Where pre-tokens end."""
@@ -69,6 +78,12 @@ class Codec:
         return self.bytes[np.repeat(self.at[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes()
 
 
+@lru_cache(maxsize=2)
+def codec(ranks: bytes, pattern: str) -> Codec:
+    """A codec, made once in each Python worker."""
+    return Codec(ranks, pattern)
+
+
 def chunk_ranges(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of the chunks of a text of n characters; each but the last goes on for ``overlap`` into the next."""
     starts = range(0, max(1, n), chunk)
@@ -141,7 +156,7 @@ def _packed(parts: list[np.ndarray]) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None, output: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: list[str] | None = None, output: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL) -> DataFrame:
     """The columns of ``keep`` (all by default) and ``ids``: the token ids of every whole text, packed as
     little-endian unsigned 32-bit integers in a binary value (``unpack`` makes an array of them).
 
@@ -154,16 +169,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() != output.lower()]
     t = fresh(docs, "_t")
     source = docs.select(*(named(c) for c in keep), F.coalesce(named(text).cast("string"), F.lit("")).alias(t))
-    setup = lambda: Codec(shared.value, pattern)
+    setup = lambda: codec(shared.value, pattern)
 
-    def whole(texts: pa.Array, codec: Codec) -> dict[str, pa.Array]:
-        return {output: _packed([codec.encode_piece(x) for x in texts.to_pylist()])}
+    def whole(texts: pa.Array, own: Codec) -> dict[str, pa.Array]:
+        return {output: _packed([encode_text(x, own, chunk, overlap) for x in texts.to_pylist()])}
 
-    short = map_batches(source.where(F.length(t) <= chunk), whole, [t], {output: T.BinaryType()}, keep, setup)
+    short = map_batches(source.where(F.length(t) <= deal), whole, [t], {output: T.BinaryType()}, keep, setup)
 
     # Longer texts: each different one once, its chunks dealt over tasks.
     sha = fresh(source, "_sha")
-    long = source.where(F.length(t) > chunk).withColumn(sha, F.sha2(F.col(t).cast("binary"), 256))
+    long = source.where(F.length(t) > deal).withColumn(sha, F.sha2(F.col(t).cast("binary"), 256))
     different = long.select(F.col(sha).alias("sha"), F.col(t).alias("body")).dropDuplicates(["sha"])
     cut_schema = "sha string, part int, start long, stop long, n long, body string"
 
@@ -175,16 +190,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sha", "part", "start", "stop", "n", "body"])
 
-    def mark(bodies: pa.Array, starts: pa.Array, stops: pa.Array, n: pa.Array, codec: Codec) -> dict[str, pa.Array]:
+    def mark(bodies: pa.Array, starts: pa.Array, stops: pa.Array, n: pa.Array, own: Codec) -> dict[str, pa.Array]:
         rows = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist(), n.to_pylist(), strict=True)
-        return {"ends": pa.array([trusted(codec.boundaries(x), s, e, m) for x, s, e, m in rows], pa.list_(pa.int64()))}
+        return {"ends": pa.array([trusted(own.boundaries(x), s, e, m) for x, s, e, m in rows], pa.list_(pa.int64()))}
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        codec = Codec(shared.value, pattern)
+        own = codec(shared.value, pattern)
         texts, found = table.column("body").to_pylist(), table.column("ends").to_pylist()
         ranges = list(zip(table.column("start").to_pylist(), table.column("stop").to_pylist(), strict=True))
-        ids = [codec.encode_piece(_join(texts, ranges, s, e)) for _, s, e in stitch(texts, ranges, found, codec)]
+        ids = [own.encode_piece(_join(texts, ranges, s, e)) for _, s, e in stitch(texts, ranges, found, own)]
         return pa.table({"sha": table.column("sha").slice(0, 1), output: _packed([np.concatenate(ids)])})
 
     dealt = different.mapInArrow(cut, cut_schema).repartition(F.col("sha"), F.col("part"))
@@ -201,10 +216,10 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str] | N
     """
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
-    def fn(packed: pa.Array, codec: Codec) -> dict[str, pa.Array]:
-        return {output: pa.array([codec.decode(np.frombuffer(x or b"", "<u4")) for x in packed.to_pylist()], pa.binary())}
+    def fn(packed: pa.Array, own: Codec) -> dict[str, pa.Array]:
+        return {output: pa.array([own.decode(np.frombuffer(x or b"", "<u4")) for x in packed.to_pylist()], pa.binary())}
 
-    return map_batches(df, fn, [ids], {output: T.BinaryType()}, df.columns if keep is None else keep, lambda: Codec(shared.value, "."))
+    return map_batches(df, fn, [ids], {output: T.BinaryType()}, df.columns if keep is None else keep, lambda: codec(shared.value, "."))
 
 
 def unpack(ids: Column) -> Column:

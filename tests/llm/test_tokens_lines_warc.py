@@ -37,13 +37,13 @@ def test_stitching_in_one_process(reference):
         assert codec.decode(ids) == text.encode()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(bpe.CHUNK, bpe.OVERLAP), (40, 8), (12, 2)])
-def test_encode_and_decode(spark, reference, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,deal", [(bpe.CHUNK, bpe.OVERLAP, bpe.DEAL), (40, 8, 40), (12, 2, 60)])
+def test_encode_and_decode(spark, reference, chunk, overlap, deal):
     rng = random.Random(2)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 120))) for _ in range(150)]
     texts += [texts[3]] * 20 + ["", None, " " * 100, "a" * 200, "\n" * 90 + "x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = bpe.encode(df, PATH, PATTERN, keep=["doc_id"], chunk=chunk, overlap=overlap)
+    found = bpe.encode(df, PATH, PATTERN, keep=["doc_id"], chunk=chunk, overlap=overlap, deal=deal)
     rows = bpe.decode(found.withColumn("list", bpe.unpack(found.ids)), PATH).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
     for r in rows:
