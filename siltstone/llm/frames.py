@@ -37,13 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage is cut and executors may be lost.
+def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """df in at most so many partitions per core: narrow rows in many partitions would make many small files.
 
-    Small results in many partitions would make many small files: at most four per core are written.
+    Partitions are read one after the other by fewer tasks, without an exchange; none grows. Cores that dynamic
+    allocation may still add count; where it has no limit nothing is done.
     """
+    sc = df.sparkSession.sparkContext
+    cores = sc.defaultParallelism
+    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
+        most = sc.getConf().get("spark.dynamicAllocation.maxExecutors", None)
+        if most is None:
+            return df
+        cores = max(cores, int(most) * int(sc.getConf().get("spark.executor.cores", "1")))
+    return df.coalesce(per_core * cores)
+
+
+def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: lineage is cut and executors may be lost."""
     path = f"{folder or shared_dir(df.sparkSession)}/{name}"
-    df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+    few_files(df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, RangeHasher, blocks, mix, ranges_of
-from siltstone.llm.frames import fresh, map_batches, named, salted_join, saved, shared_dir
+from siltstone.llm.frames import few_files, fresh, map_batches, named, salted_join, saved, shared_dir
 
 DEPTH = 4
 MIN_TOKENS = 3
@@ -184,4 +184,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
         made = {"text": pa.array(out, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
         return {names[o]: v for o, v in made.items()}
 
-    return map_batches(joined, rewrite, [t_c, gone_c], {names["text"]: T.StringType(), names["n_lines"]: T.LongType(), names["n_dropped"]: T.LongType()}, kept)
+    return few_files(map_batches(joined, rewrite, [t_c, gone_c], {names["text"]: T.StringType(), names["n_lines"]: T.LongType(), names["n_dropped"]: T.LongType()}, kept), 4)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components, labels
+from siltstone.llm.frames import few_files
 
 #: What a unit of comparison returns: (a, n, null) for n items linked with class a, (a, null, b) for an edge.
 UNIT_SCHEMA = "a long, n long, b long"
@@ -49,10 +50,11 @@ def resolve(items: DataFrame, key: str, members: DataFrame, classes: DataFrame,
     known = known.groupBy("id").agg(F.max("links").alias("links"), F.min("root").alias("root"), F.min("rep").alias("rep"))
     out = items.join(known, "id", "left")
     component = F.coalesce("root", "id")
-    return out.select(
+    out = out.select(
         F.col("id").alias(key),
         F.coalesce("rep", "id").alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+    return few_files(out)
