@@ -210,8 +210,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate documents by their five-word shingles."""
-    return jaccard_join(_read(spark, sf_dir, "documents"))
+    """Near-duplicate documents by their five-word shingles: the class of each (its least document), and its links."""
+    return jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "component_id", "n_links", "kept")
 
 
 OP5_SQL = rf"""
@@ -225,7 +225,7 @@ pairs AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
 roots AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a),
 links AS (SELECT a AS doc_id, count(*) AS n FROM pairs GROUP BY a)
-SELECT w.doc_id, CASE WHEN len(w) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY w) END AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, w.doc_id = c AS kept
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, w.doc_id = c AS kept
 FROM w JOIN roots USING (doc_id) LEFT JOIN links USING (doc_id)
 """
 
