@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: ASCII A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)

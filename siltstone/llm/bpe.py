@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import fresh, map_batches, named
+from siltstone.llm.frames import fresh, map_batches, named, tidy
 
 CHUNK = 32_768
 OVERLAP = 2_048
@@ -78,12 +78,6 @@ class Codec:
         return self.bytes[np.repeat(self.at[ids] - (ends - size), size) + np.arange(ends[-1])].tobytes()
 
 
-@lru_cache(maxsize=2)
-def codec(ranks: bytes, pattern: str) -> Codec:
-    """A codec, made once in each Python worker."""
-    return Codec(ranks, pattern)
-
-
 def chunk_ranges(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of the chunks of a text of n characters; each but the last goes on for ``overlap`` into the next."""
     starts = range(0, max(1, n), chunk)
@@ -169,7 +163,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     keep = [c for c in dict.fromkeys(docs.columns if keep is None else keep) if c.lower() != output.lower()]
     t = fresh(docs, "_t")
     source = docs.select(*(named(c) for c in keep), F.coalesce(named(text).cast("string"), F.lit("")).alias(t))
-    setup = lambda: codec(shared.value, pattern)
+    setup = lambda: Codec(shared.value, pattern)
 
     def whole(texts: pa.Array, own: Codec) -> dict[str, pa.Array]:
         return {output: _packed([encode_text(x, own, chunk, overlap) for x in texts.to_pylist()])}
@@ -196,13 +190,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        own = codec(shared.value, pattern)
+        own = Codec(shared.value, pattern)
         texts, found = table.column("body").to_pylist(), table.column("ends").to_pylist()
         ranges = list(zip(table.column("start").to_pylist(), table.column("stop").to_pylist(), strict=True))
         ids = [own.encode_piece(_join(texts, ranges, s, e)) for _, s, e in stitch(texts, ranges, found, own)]
         return pa.table({"sha": table.column("sha").slice(0, 1), output: _packed([np.concatenate(ids)])})
 
-    dealt = different.mapInArrow(cut, cut_schema).repartition(F.col("sha"), F.col("part"))
+    dealt = different.mapInArrow(tidy(cut), cut_schema).repartition(F.col("sha"), F.col("part"))
     marked = map_batches(dealt, mark, ["body", "start", "stop", "n"], {"ends": T.ArrayType(T.LongType())}, ["sha", "part", "start", "stop", "body"], setup)
     ids = marked.groupBy("sha").applyInArrow(join, T.StructType([T.StructField("sha", T.StringType()), T.StructField(output, T.BinaryType())]))
     joined = long.select(*(named(c) for c in keep), F.col(sha)).join(ids.withColumnRenamed("sha", sha), sha)
@@ -219,7 +213,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str] | N
     def fn(packed: pa.Array, own: Codec) -> dict[str, pa.Array]:
         return {output: pa.array([own.decode(np.frombuffer(x or b"", "<u4")) for x in packed.to_pylist()], pa.binary())}
 
-    return map_batches(df, fn, [ids], {output: T.BinaryType()}, df.columns if keep is None else keep, lambda: codec(shared.value, "."))
+    return map_batches(df, fn, [ids], {output: T.BinaryType()}, df.columns if keep is None else keep, lambda: Codec(shared.value, "."))
 
 
 def unpack(ids: Column) -> Column:

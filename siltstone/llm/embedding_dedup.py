@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import map_batches, named, saved, shared_dir
+from siltstone.llm.frames import map_batches, named, saved, shared_dir, tidy
 from siltstone.llm.linking import UNIT_SCHEMA, resolve, unit_rows
 
 THRESHOLD = 0.95
@@ -92,7 +92,7 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
             kinds = (pa.binary(), pa.int32(), pa.binary(), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "digest", "dim", "unit", "p"])
 
-    usable = vectors.select(named(key).cast("long").alias("id"), named(vector).alias("v")).where("id IS NOT NULL").mapInArrow(run, schema)
+    usable = vectors.select(named(key).cast("long").alias("id"), named(vector).alias("v")).where("id IS NOT NULL").mapInArrow(tidy(run), schema)
     # All rows of a class agree in dim, unit and p, so any of them will do.
     one = usable.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("dim").alias("dim"), F.first("unit").alias("unit"), F.first("p").alias("p"))
     return usable.select("id", "digest"), one

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -96,6 +97,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed but holds; workers live on and serve later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back at the end of each task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[..., dict[str, pa.Array]],
@@ -126,4 +147,4 @@ def map_batches(
             made = fn(*(batch.column(place[c]) for c in inputs), *state)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(made[o] for o in outputs)], names=[*kept, *outputs])
 
-    return df.select(*aliased).mapInArrow(run, schema)
+    return df.select(*aliased).mapInArrow(tidy(run), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, blocks, grams, mix, words
 from siltstone.llm.components import components
-from siltstone.llm.frames import discard, map_batches, named, salted_join, saved, shared_dir, small_batches
+from siltstone.llm.frames import discard, give_back, map_batches, named, salted_join, saved, shared_dir, small_batches, tidy
 from siltstone.llm.linking import UNIT_SCHEMA, resolve, unit_rows
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
 
     small_batches(docs.sparkSession)
     source = docs.select(named(key).cast("long").alias("id"), named(text).cast("string").alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    return source.mapInArrow(run, "id long, digest binary, n long, keys array<long>")
+    return source.mapInArrow(tidy(run), "id long, digest binary, n long, keys array<long>")
 
 
 def _links(keys: np.ndarray, hashes: np.ndarray, at: np.ndarray, split: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +180,7 @@ def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, thresh
             x, y = _links(keys[a:z], hashes[at[a] : at[z]], at[a : z + 1] - at[a], split, threshold)
             if len(x):
                 out.append(unit_rows(ids[a:z], sizes[a:z], x, y, pairs))
+        give_back()
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, names=names)
 
     return dealt.groupBy("deal", "i", "j", "big").applyInArrow(unit, UNIT_SCHEMA)

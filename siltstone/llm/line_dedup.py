@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, RangeHasher, blocks, mix, ranges_of
-from siltstone.llm.frames import few_files, fresh, map_batches, named, salted_join, saved, shared_dir
+from siltstone.llm.frames import few_files, fresh, map_batches, named, salted_join, saved, shared_dir, tidy
 
 DEPTH = 4
 MIN_TOKENS = 3
@@ -99,7 +99,7 @@ def recurring(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, sh
                 keys = b.column(0).take(pa.array(block.first + x.row))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(x.number), pa.array(x.leaf), pa.array(x.content), pa.array(x.first.astype(np.int64))], names=schema.names)
 
-    every = saved(own.mapInArrow(cut, schema), "lines", folder)
+    every = saved(own.mapInArrow(tidy(cut), schema), "lines", folder)
     kinds = every.groupBy("leaf", "c").agg(F.sum("one").alias("docs"), F.min(F.struct("k", "n")).alias("rep"))
     kinds = saved(kinds, "contents", folder)
     leaves = kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("many")).where((F.col("total") >= min_docs) & (F.col("many") > 1)).select("leaf")
@@ -125,7 +125,7 @@ def recurring(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, sh
                 cols = list(zip(*rows, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], names=["leaf", "c", "docs", "tokens"])
 
-    found = own.join(wanted, "k").select("t", "w").mapInArrow(tokens, token_schema).dropDuplicates(["leaf", "c"])
+    found = own.join(wanted, "k").select("t", "w").mapInArrow(tidy(tokens), token_schema).dropDuplicates(["leaf", "c"])
     found = saved(found, "tokens", folder)
     each = found.select("leaf", "c", "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("p", "token")).where(F.col("p") >= DEPTH)
     constants = each.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("s")).where(F.col("s") >= min_docs).drop("s")

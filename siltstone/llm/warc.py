@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import named, salted_join
+from siltstone.llm.frames import named, salted_join, tidy
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
@@ -140,7 +140,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                     made, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    records = told.select("key", "url", "body", "head").mapInArrow(run, schema)
+    records = told.select("key", "url", "body", "head").mapInArrow(tidy(run), schema)
     # A number of archives that follows the bytes, not the partitions of the input.
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     n = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
@@ -309,7 +309,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         return made
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    parsed = files.mapInArrow(run, _PARSED)
+    parsed = files.mapInArrow(tidy(run), _PARSED)
     whole = parsed.where("segment IS NULL").select(*READ_SCHEMA.names)
     joined = parsed.where("segment IS NOT NULL").groupBy("key").applyInPandas(join, READ_SCHEMA)
     return whole.unionByName(joined)
