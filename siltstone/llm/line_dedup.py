@@ -91,8 +91,8 @@ def _code(number: np.ndarray, content: np.ndarray) -> np.ndarray:
 
 
 def whole_lines(block: Block) -> Lines:
-    """Every line of enough tokens, told apart word for word."""
-    return lines(block, exact=True)
+    """Every line that isn't blank, told apart word for word."""
+    return lines(block, min_tokens=1, exact=True)
 
 
 def _tokens(find: Callable[[Block], Lines]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -178,7 +178,7 @@ def _in_enough(groups: DataFrame, members: DataFrame, on: list[str], every: Data
 
 
 def recurring_whole(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, share: float = SHARE, min_same: int = MIN_SAME, folder: str | None = None) -> DataFrame:
-    """As ``recurring``, for lines told apart word for word.
+    """As ``recurring``, for every line that isn't blank, however few tokens it has.
 
     A line that stands word for word in ``min_same`` documents recurs. A template is a leaf's constants with fields for the
     rest; a token with a digit is never a constant, and constants make up at least ``share`` of an instance. A template

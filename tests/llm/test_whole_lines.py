@@ -10,3 +10,8 @@ def cleaned(spark, docs):
 def test_a_line_in_two_documents_goes_once(spark):
     line = "planted " + " ".join(f"word{c}" for c in "abcdefgh" * 8)
     assert cleaned(spark, [(1, f"own one\n{line}"), (2, f"{line}\nown two")]) == {1: f"own one\n{line}", 2: "own two"}
+
+
+def test_lines_of_one_or_two_tokens_go(spark):
+    docs = [(i, f"own {'abc'[i]} text\nLes.\nUnd äbe.\n\n今日はとても良い天気です。") for i in range(3)]
+    assert cleaned(spark, docs) == {0: docs[0][1], 1: "own b text\n", 2: "own c text\n"}
