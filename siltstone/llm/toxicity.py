@@ -5,7 +5,7 @@ first 4, 6 and 8 bytes, so that inflected and compounded forms of a stem share w
 one, two and three words are max-pooled over the whole text and combined to a logit. Embeddings and filters
 are trained in numpy on the driver with a bounded sample of labelled rows; first estimates of the
 embeddings come from document frequencies in the two classes. The logit at which a text counts as toxic is
-calibrated for each language on rows kept out of training; the language is guessed from the text's
+calibrated for each language on logits of all rows, each from a network trained without it; the language is guessed from the text's
 own frequent words, never read from a column.
 
 Scoring passes every word of every text, block by block, without a shuffle.
@@ -32,6 +32,8 @@ PREFIXES = (4, 6, 8)
 DIM = 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 CUT = 0.7
+#: Parts of the labelled rows, each scored by a network trained on the others.
+PARTS = 4
 #: An embedding is learnt only of what occurs in so many training texts.
 SEEN = 3
 SCORE_BLOCK = 512 << 10
@@ -243,11 +245,20 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float(edge[least[len(least) // 2]])
 
 
-def calibrate(net: Network, bags: list[np.ndarray], language: np.ndarray, y: np.ndarray, least: int = 5) -> None:
+def unseen_logits(bags: list[np.ndarray], y: np.ndarray, part: np.ndarray, seed: int = 7) -> np.ndarray:
+    """The logit of each text from a network trained on the other parts."""
+    out = np.zeros(len(bags))
+    for p in np.unique(part):
+        net = train([b for b, q in zip(bags, part, strict=True) if q != p], y[part != p], seed=seed)
+        for i in np.flatnonzero(part == p):
+            out[i] = net.forward(bags[i], np.array([0, len(bags[i])]))[0][0]
+    return out
+
+
+def calibrate(net: Network, logit: np.ndarray, language: np.ndarray, y: np.ndarray, least: int = 5) -> None:
     """Set the cuts: of a language with at least that many rows of each label its own, else the one of all."""
-    if not len(bags) or len(set(y.tolist())) < 2:
+    if not len(logit) or len(set(y.tolist())) < 2:
         return
-    logit = np.concatenate([net.forward(b, np.array([0, len(b)]))[0] for b in bags]).astype(np.float64)
     net.cuts[:] = best_cut(logit, y)
     for i in range(len(net.cuts)):
         own = language == i
@@ -256,8 +267,8 @@ def calibrate(net: Network, bags: list[np.ndarray], language: np.ndarray, y: np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Network:
-    """A network fitted to at most ``max_rows`` labelled rows outside the held-out fold; a quarter of them
-    only calibrates the cuts. Null texts, keys and labels aren't used. The driver gets hashed words of these rows only.
+    """A network fitted to at most ``max_rows`` labelled rows outside the held-out fold; the cuts are calibrated on all
+    of them, by networks that each leave out a quarter. Null texts, keys and labels aren't used. The driver gets hashed words of these rows only.
     """
 
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
@@ -270,12 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
     made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.IntegerType()), "lang": T.IntegerType()}, ["k", "y"])
-    made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.IntegerType()), "lang": T.IntegerType()}, ["k", "y"])
-    apart = (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % 4 == 0).alias("apart")
-    got, bags = collected(made.select(F.col("k").cast("string").alias("k"), "y", apart, "lang", "x"), "x", np.int32, 1 + len(PREFIXES))
-    y, language, apart = np.asarray(got["y"], np.float64), np.asarray(got["lang"], np.int64), np.asarray(got["apart"], bool)
-    net = train([b for b, a in zip(bags, apart, strict=True) if not a], y[~apart], seed=seed)
-    calibrate(net, [b for b, a in zip(bags, apart, strict=True) if a], language[apart], y[apart])
+    part = (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % PARTS).cast("int").alias("part")
+    got, bags = collected(made.select(F.col("k").cast("string").alias("k"), "y", part, "lang", "x"), "x", np.int32, 1 + len(PREFIXES))
+    y, language, part = np.asarray(got["y"], np.float64), np.asarray(got["lang"], np.int64), np.asarray(got["part"], np.int64)
+    net = train(bags, y, seed=seed)
+    if len(set(y.tolist())) > 1:
+        calibrate(net, unseen_logits(bags, y, part, seed), language, y)
     return net
 
 
