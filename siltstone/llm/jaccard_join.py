@@ -1,12 +1,12 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding, in place of an LSH forest.
 
 A text's shingles are its runs of five words (all its words, if it has fewer); texts are linked if the
 Jaccard similarity of their sets of shingles is at least 0.8.
 
-Every different sequence of words gets a signature. A tree of the forest orders the texts by a label of
-``DEEPEST`` minimum hashes; equal prefixes are candidates. The prefixes are shortened from the
-deepest on until a pair at the threshold shares one in some tree with the target probability, so
-what is less alike meets as seldom as the recall allows.
+Every different sequence of words gets a signature: in each of ``TREES`` trees, a prefix of a label of minimum
+hashes; equal prefixes are candidates. All prefixes have one fixed depth, the largest up to ``DEEPEST`` at which a pair
+at the threshold shares one in some tree with the target probability. This is banding, which stands in for the
+forest: no level below that depth is computed, and none is shortened by what matches.
 
 Candidates aren't written out as pairs. Buckets of equal prefixes become stars, whose components
 bring together everything that may link; a component is cut into blocks of bounded size, and a pair of blocks
