@@ -10,6 +10,7 @@ Vectors are sorted by the first projection and cut into blocks of about ``BLOCK`
 blocks that lie within a much wider window of it on that line. A pair of blocks is one task's unit: collisions
 are counted in arrays, candidates verified in double precision, and what leaves it is a number of links
 per vector and one edge per linked vector, not the links. Equal vectors are one row with a count throughout.
+Counting is dense over the rows of two blocks: there is no search by sorted windows of each projection.
 Work grows with the square of the number of different vectors, times the share of blocks within
 reach; memory and shuffled bytes per unit are those of two blocks.
 """
