@@ -283,7 +283,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives in the shared folder and read back."""
     folder = shared_dir(spark)
-    write_warc(_read(spark, sf_dir, "pages"), folder)
+    write_warc(_read(spark, sf_dir, "pages"), folder, null_keys=True)
     return read_warc(spark, folder, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

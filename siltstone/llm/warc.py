@@ -1,12 +1,16 @@
 r"""WARC archives: writing with segmentation and revisits, reading with reassembly.
 
 Writing: every row becomes a record of an HTTP message. Rows with equal payloads are stored once: the row
-with the largest id is the response, the others are revisits that refer to it. The body travels in
+with the largest id is the response, the others are revisits that refer to it. A record's name holds the row's
+key and its payload's digest; rows that agree in both get a number besides, so that no two records of a run share a name. The body travels in
 chunked transfer coding; a block over ``segment_bytes`` is cut into a first record (segment 1) and
 continuation records that name it as their origin, the last with the total length.
 
+Who revisits whom is found from keys, lengths and digests alone. It is told to the rows by key and digest: as a broadcast
+up to ``TOLD_ROWS`` of them (counted, some 80 bytes each), by a join beyond.
+
 Reading: archives are parsed as a stream, record by record, by Content-Length. Segmented records are
-grouped by origin, ordered by segment number, their total length verified, and only then is the HTTP
+grouped by their origin's name, ordered by segment number, their total length verified, and only then is the HTTP
 message parsed and the chunk framing decoded. Only segments are shuffled, and one group is one record.
 
 Archives are written by Spark's text sink (records end with the CRLF CRLF that the format asks for), so they
@@ -24,17 +28,20 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import named, salted_join, tidy
+from siltstone.llm.frames import discard, named, salted_join, saved, shared_dir, tidy
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Bytes of payload for each archive, and records in one archive at most: with segments of 32 KiB, 256 MiB before compression.
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 8192
+#: Rows that are told something about themselves, up to which they are broadcast.
+TOLD_ROWS = 100_000
 END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -77,14 +84,20 @@ def _clean(text: str | None) -> str:
     return "".join(c for c in text or "" if c not in "\r\n")
 
 
-def records_of(key: int, url: str | None, payload: bytes, refers: int | None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
+def name_of(key: int | None, digest: str, number: str | None = None) -> str:
+    """The name of a record: of its key (null: none), its payload's digest and a number if these aren't enough."""
+    return f"<urn:page:{'' if key is None else key}:{digest}{'' if number is None else f':{number}'}>"
+
+
+def records_of(key: int | None, url: str | None, payload: bytes, refers: int | None, segment_bytes: int = SEGMENT_BYTES, number: str | None = None) -> Iterator[bytes]:
     """The records of one page: a response, segmented if its block is long, or a revisit."""
-    uri = f"<urn:page:{key}>"
-    sha = f"sha1:{digest_of(payload)}"
+    digest = digest_of(payload)
+    uri = name_of(key, digest, number)
+    sha = f"sha1:{digest}"
     common = [("WARC-Record-ID", uri), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", sha)]
     if refers is not None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}>")]
+        more = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name_of(refers, digest))]
         yield _record([("WARC-Type", "revisit"), *common, *more, ("Content-Type", "application/http;msgtype=response")], http)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -93,46 +106,62 @@ def records_of(key: int, url: str | None, payload: bytes, refers: int | None, se
         yield _record([("WARC-Type", "response"), *common, *typed], block)
         return
     starts = range(0, len(block), segment_bytes)
-    for number, at in enumerate(starts, 1):
+    for at_number, at in enumerate(starts, 1):
         part = block[at : at + segment_bytes]
-        if number == 1:
+        if at_number == 1:
             yield _record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", "1"), *typed], part)
             continue
-        head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{key}:{number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uri), ("WARC-Segment-Number", str(number))]
-        if number == len(starts):
+        head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{uri[:-1]}/{at_number}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uri), ("WARC-Segment-Number", str(at_number))]
+        if at_number == len(starts):
             head.append(("WARC-Segment-Total-Length", str(len(block))))
         yield _record(head, part)
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_records: int = ARCHIVE_RECORDS) -> None:
+def _told(marks: DataFrame, min_bytes: int) -> DataFrame:
+    """What rows must be told, by key (null included) and digest: ``head``, the key they refer to, if they are revisits,
+    and ``again``, whether several rows share key and payload."""
+    each = marks.groupBy("key", "sha", "n").agg(F.count(F.lit(1)).alias("times"))
+    heads = each.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("key").alias("head"), F.sum("times").alias("many")).where("many > 1").drop("many")
+    again = (F.col("times") > 1).alias("again")
+    # A null key is never the largest; where all are null each is a response.
+    equal = salted_join(each.where(F.col("n") >= min_bytes), heads, ["sha", "n"], "key")
+    equal = equal.select("key", "sha", F.expr("if(key IS NULL OR key < head, head, NULL)").alias("head"), again).where("head IS NOT NULL OR again")
+    small = each.where((F.col("n") < min_bytes) & (F.col("times") > 1)).select("key", "sha", F.lit(None).cast("long").alias("head"), again)
+    return equal.unionByName(small)
+
+
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_records: int = ARCHIVE_RECORDS, null_keys: bool = False, told_rows: int = TOLD_ROWS) -> None:
     """Write one record per row as gzipped archives in the folder ``path``.
 
     Of rows whose payloads (UTF-8 of ``html``; null: empty) are equal and have at least ``min_bytes`` bytes, the
     one with the largest key is the response and the others are revisits; smaller payloads are all
-    responses. Rows with a null key can't be named and raise an error; keys are taken as unique, and of rows that
-    share key and payload each is a record. Line breaks in urls are left out. An empty table writes archives
-    without records; other columns are left out.
+    responses. Each row is a record: rows that share a key but not the payload are told apart by the digest, rows that share
+    both are as many responses (if the key is the largest) or revisits. Rows with a null key raise an error,
+    unless ``null_keys``: then each is a revisit of the row with the largest key and an equal payload, or a response if there is
+    none. Line breaks in urls are left out. An empty table writes archives without records; other columns are left out.
     """
     body = F.coalesce(named(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(
-        F.when(named(key).isNull(), F.raise_error(F.lit("a page without a key can't be written"))).otherwise(named(key).cast("long")).alias("key"),
-        named(url).cast("string").alias("url"),
-        body.alias("body"),
-    )
-    # Who refers to whom: only ids and digests are shuffled, summed up before the exchange.
-    marks = rows.where(F.length("body") >= min_bytes).select("key", F.sha2("body", 256).alias("sha"), F.length("body").alias("n"))
-    heads = marks.groupBy("sha", "n").agg(F.max("key").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    revisits = salted_join(marks, heads, ["sha", "n"], "key").where("key < head").select("key", "head").distinct()
-    told = rows.join(revisits, "key", "left")
+    own = named(key).cast("long")
+    if not null_keys:
+        own = F.when(named(key).isNull(), F.raise_error(F.lit("a page without a key can't be written"))).otherwise(own)
+    rows = pages.select(own.alias("key"), named(url).cast("string").alias("url"), body.alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"))
+    folder = shared_dir(pages.sparkSession)
+    marks = saved(rows.select("key", "sha", F.length("body").alias("n")), "marks", folder)
+    told = saved(_told(marks, min_bytes), "told", folder)
+    few = told.count() <= told_rows
+    told = told.withColumnsRenamed({"key": "told_key", "sha": "told_sha"})
+    joined = rows.join(F.broadcast(told) if few else told.hint("merge"), F.col("key").eqNullSafe(F.col("told_key")) & (F.col("sha") == F.col("told_sha")), "left")
     schema = T.StructType([T.StructField("record", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
         for b in batches:
             made: list[bytes] = []
             held = 0
             for i in range(b.num_rows):
-                k, u, p, h = (b.column(c)[i].as_py() for c in range(4))
-                for r in records_of(k, u, p, h, segment_bytes):
+                k, u, p, h, again = (b.column(c)[i].as_py() for c in range(5))
+                at += 1
+                for r in records_of(k, u, p, h, segment_bytes, f"{task}.{at}" if again or k is None else None):
                     made.append(r)
                     held += len(r)
                 if held > 4 << 20:
@@ -140,11 +169,12 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                     made, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
-    records = told.select("key", "url", "body", "head").mapInArrow(tidy(run), schema)
     # A number of archives that follows the bytes, not the partitions of the input.
-    size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    size = marks.agg(F.sum("n")).first()[0] or 0
     n = max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // ARCHIVE_BYTES))
-    records.coalesce(n).select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+    records = joined.select("key", "url", "body", "head", "again").coalesce(n).mapInArrow(tidy(run), schema)
+    records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", archive_records).text(path)
+    discard(pages.sparkSession, folder)
 
 
 @dataclass
@@ -225,7 +255,9 @@ def payload_of(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _key(urn: str | None) -> int | None:
-    return int(urn.strip("<>").split(":")[2]) if urn else None
+    """The key in a name of ``name_of``; null for other names."""
+    parts = (urn or "").strip("<>").split(":")
+    return int(parts[2]) if parts[:2] == ["urn", "page"] and len(parts) > 2 and parts[2].lstrip("-").isdigit() else None
 
 
 READ_SCHEMA = T.StructType(
@@ -239,8 +271,8 @@ READ_SCHEMA = T.StructType(
         T.StructField("payload_digest", T.StringType()),
     ]
 )
-_PARSED = T.StructType([*READ_SCHEMA, T.StructField("segment", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("block", T.BinaryType())])
-_ARROW = pa.schema([("key", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
+_PARSED = T.StructType([*READ_SCHEMA, T.StructField("origin", T.StringType()), T.StructField("segment", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("block", T.BinaryType())])
+_ARROW = pa.schema([("key", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
 
 
 def _finished(headers: dict[str, str], block: bytes, payloads: bool) -> dict:
@@ -267,7 +299,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     full payload, for revisits as recorded).
 
     A wrong length, a missing segment, broken chunk framing or a payload without its digest raises an
-    error. Records of other types are passed over. A folder without records gives no rows.
+    error. Records of other types are passed over. The key is null if a record's name isn't one that ``write_warc``
+    gives, or the row had none. A folder without records gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +315,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                         continue
                     if "warc-segment-number" in h:
                         origin = h.get("warc-segment-origin-id") or h["warc-record-id"]
-                        row = {"key": _key(origin), "url": h.get("warc-target-uri"), "record_type": kind, "payload_digest": h.get("warc-payload-digest"), "segment": int(h["warc-segment-number"]), "block": r.block}
+                        row = {"origin": origin, "url": h.get("warc-target-uri"), "record_type": kind, "payload_digest": h.get("warc-payload-digest"), "segment": int(h["warc-segment-number"]), "block": r.block}
                         row["total"] = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
                     else:
                         row = _finished(h, r.block, payloads)
@@ -299,17 +332,17 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         total = g["total"].iloc[-1]
         block = b"".join(g["block"])
         if numbers != list(range(1, len(numbers) + 1)) or pd.isna(total) or int(total) != len(block):
-            raise ValueError(f"record {g['key'].iloc[0]}: segments {numbers} with {len(block)} bytes don't make up {total}")
+            raise ValueError(f"record {g['origin'].iloc[0]}: segments {numbers} with {len(block)} bytes don't make up {total}")
         first = g.iloc[0]
-        headers = {"warc-type": "response", "warc-record-id": f"<urn:page:{first['key']}>", "warc-payload-digest": first["payload_digest"] or ""}
+        headers = {"warc-type": "response", "warc-record-id": first["origin"], "warc-payload-digest": first["payload_digest"] or ""}
         if first["url"] is not None:
             headers["warc-target-uri"] = first["url"]
         made = pd.DataFrame([_finished(headers, block, payloads)])
-        made["refers_to"] = made["refers_to"].astype("Int64")
+        made[["key", "refers_to"]] = made[["key", "refers_to"]].astype("Int64")
         return made
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     parsed = files.mapInArrow(tidy(run), _PARSED)
     whole = parsed.where("segment IS NULL").select(*READ_SCHEMA.names)
-    joined = parsed.where("segment IS NOT NULL").groupBy("key").applyInPandas(join, READ_SCHEMA)
+    joined = parsed.where("segment IS NOT NULL").groupBy("origin").applyInPandas(join, READ_SCHEMA)
     return whole.unionByName(joined)
