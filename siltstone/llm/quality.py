@@ -22,9 +22,10 @@ from siltstone.llm.frames import map_batches
 from siltstone.llm.labelled import collected, labelled_sample
 
 PASSAGE = 64
-#: Labelled rows to learn from, and passages taken of each while learning (evenly spread over the text).
+#: Labelled rows to learn from; every passage of each is used.
 TRAIN_ROWS = 4096
-TRAIN_PASSAGES = 64
+#: Passages whose gradient is worked out at once.
+TILE = 1 << 16
 FEATURES = 18
 HIDDEN, GATE = 16, 8
 CUT = 0.7
@@ -126,6 +127,19 @@ class Network:
         z = np.add.reduceat(a[:, None] * h, at[:-1])
         return z @ w["c"] + w["d"], {"x": x, "h": h, "v": v, "u": u, "a": a, "z": z, "n": n}
 
+    def gradient(self, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the summed log loss of the bags, by weight."""
+        w = self.weights
+        logit, f = self.forward(x, at)
+        dl = 1 / (1 + np.exp(-logit)) - y
+        dz = np.repeat(dl[:, None] * w["c"], f["n"], axis=0)
+        da = (dz * f["h"]).sum(1)
+        da = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at[:-1]), f["n"]))
+        dg = da[:, None] * w["a"]
+        dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
+        dh = (f["a"][:, None] * dz + dv @ w["V"].T + du @ w["U"].T) * (1 - f["h"] ** 2)
+        return {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "a": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ dl, "d": np.array([dl.sum()])}
+
     def score(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, at)[0], -30, 30)))
 
@@ -133,10 +147,10 @@ class Network:
 def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Network:
     """Fit by Adam on the log loss of the bags. Without rows of both labels the score is the labels' mean."""
     rng = np.random.default_rng(seed)
-    spread = x.std(0) if len(x) else np.ones(FEATURES)
+    spread = x.std(0, dtype=np.float64) if len(x) else np.ones(FEATURES)
     init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float64)
     w = {"W": init(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "a": init(GATE), "c": init(HIDDEN), "d": np.zeros(1)}
-    fixed = {"mean": x.mean(0) if len(x) else np.zeros(FEATURES), "spread": np.where(spread > 1e-4, spread, 1.0)}
+    fixed = {"mean": x.mean(0, dtype=np.float64) if len(x) else np.zeros(FEATURES), "spread": np.where(spread > 1e-4, spread, 1.0)}
     net = Network({**w, **fixed})
     if len(set(y.tolist())) < 2:
         mean = float(y.mean()) if len(y) else 0.5
@@ -145,16 +159,13 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 400, rate:
         return net
     m = {k: np.zeros_like(v) for k, v in w.items()}
     q = {k: np.zeros_like(v) for k, v in w.items()}
+    # Whole rows of about TILE passages (or one row).
+    runs = np.unique(np.append(np.searchsorted(at, np.arange(0, at[-1], TILE)), len(y)))
     for t in range(1, steps + 1):
-        logit, f = net.forward(x, at)
-        dl = (1 / (1 + np.exp(-logit)) - y) / len(y)
-        dz = np.repeat(dl[:, None] * net.weights["c"], f["n"], axis=0)
-        da = (dz * f["h"]).sum(1)
-        da = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, at[:-1]), f["n"]))
-        dg = da[:, None] * net.weights["a"]
-        dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
-        dh = (f["a"][:, None] * dz + dv @ net.weights["V"].T + du @ net.weights["U"].T) * (1 - f["h"] ** 2)
-        grad = {"W": f["x"].T @ dh, "b": dh.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "a": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ dl, "d": np.array([dl.sum()])}
+        grad = {k: np.zeros_like(v) for k, v in w.items()}
+        for i, z in zip(runs[:-1], runs[1:], strict=True):
+            for k, g in net.gradient(x[at[i] : at[z]], at[i : z + 1] - at[i], y[i:z]).items():
+                grad[k] += g / len(y)
         lr = rate * min(1.0, 2 * (1 - t / (steps + 1)))
         for k, g in grad.items():
             g = g + decay * net.weights[k]
@@ -167,26 +178,22 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 400, rate:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held_out: int = 2, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Network:
     """A network fitted to at most ``max_rows`` labelled rows outside the held-out fold.
 
-    Null texts, keys and labels aren't used. The driver gets features only: ``max_rows`` times at most
-    ``TRAIN_PASSAGES`` times 18 numbers.
+    Null texts, keys and labels aren't used. The driver gets the features of every passage of these rows, 72 bytes for
+    64 tokens; it works them off in runs of whole rows of about ``TILE`` passages.
     """
 
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
         out = []
         for b in blocks(texts):
             x, at = passages(b)
-            for i in range(b.rows):
-                own = x[at[i] : at[i + 1]]
-                if len(own) > TRAIN_PASSAGES:
-                    own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(int)]
-                out.append(own.ravel())
+            out += [x[at[i] : at[i + 1]].ravel() for i in range(b.rows)]
         return {"x": pa.array(out, pa.list_(pa.float32()))}
 
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
     made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.FloatType())}, ["k", "y"]).select(F.col("k").cast("string").alias("k"), "y", "x")
-    got, bags = collected(made, "x", np.float64, FEATURES)
+    got, bags = collected(made, "x", np.float32, FEATURES)
     at = np.concatenate([[0], np.cumsum([len(v) for v in bags])]).astype(np.int64)
-    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES))
+    x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
     return train(x, at, np.asarray(got["y"], np.float64), seed=seed)
 
 
