@@ -38,20 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
+#: Bytes of the plan's inputs for each partition that is written.
+FILE_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files (or other sources) that df is made from, as the planner knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+
+
 def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """df in at most so many partitions per core: narrow rows in many partitions would make many small files.
+    """df in fewer partitions where there are many for little data: narrow rows in many partitions would make many small files.
 
-    Partitions are read one after the other by fewer tasks, without an exchange; none grows. Cores that dynamic
-    allocation may still add count; where it has no limit nothing is done.
+    One is left for each ``FILE_BYTES`` of the inputs, and so many per core at least. Partitions are read one after the
+    other by fewer tasks, without an exchange.
     """
-    sc = df.sparkSession.sparkContext
-    cores = sc.defaultParallelism
-    if sc.getConf().get("spark.dynamicAllocation.enabled", "false") == "true":
-        most = sc.getConf().get("spark.dynamicAllocation.maxExecutors", None)
-        if most is None:
-            return df
-        cores = max(cores, int(most) * int(sc.getConf().get("spark.executor.cores", "1")))
-    return df.coalesce(per_core * cores)
+    by_bytes = min(-(-input_bytes(df) // FILE_BYTES), 2**31 - 1)  # sources of unknown size count as endless
+    return df.coalesce(max(per_core * df.sparkSession.sparkContext.defaultParallelism, by_bytes))
 
 
 def saved(df: DataFrame, name: str = "part", folder: str | None = None) -> DataFrame:

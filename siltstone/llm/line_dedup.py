@@ -160,7 +160,7 @@ def recurring(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DOCS, sh
     instances = kinds.join(instances, ["leaf", "c"]).unionByName(kinds.where(F.col("docs") >= min_docs))
     heads = instances.groupBy("leaf").agg(F.min("rep").alias("head"), F.sum("docs").alias("total")).where(F.col("total") >= min_docs)
     told = salted_join(instances.select("leaf", "c"), heads.select("leaf", "head"), ["leaf"], "c")
-    gone = every.join(told, ["leaf", "c"]).where((F.col("k") != F.col("head.k")) | (F.col("n") != F.col("head.n"))).select("k", "n", "c")
+    gone = salted_join(every, told, ["leaf", "c"], "k").where((F.col("k") != F.col("head.k")) | (F.col("n") != F.col("head.n"))).select("k", "n", "c")
     return _codes(gone)
 
 
@@ -172,7 +172,8 @@ def _in_enough(groups: DataFrame, members: DataFrame, on: list[str], every: Data
     """
     sure = (F.col("most") >= min_docs) | (F.col("docs") - F.col("crowded") >= min_docs)
     open_ = groups.where(~sure & (F.col("docs") >= min_docs)).select(*on)
-    crowd = salted_join(members.select(*on, "c"), open_, on, "c").join(every.where("one = 1").select("leaf", "c", "k"), ["leaf", "c"])
+    asked = salted_join(members.select(*on, "c"), open_, on, "c").select(*on, "c").distinct()
+    crowd = salted_join(every.where("one = 1").select("leaf", "c", "k"), asked, ["leaf", "c"], "k")
     enough = crowd.select(*on, "k").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     return groups.where(sure).select(*on).unionByName(enough.select(*on))
 
@@ -224,7 +225,7 @@ def recurring_whole(docs: DataFrame, key: str, text: str, min_docs: int = MIN_DO
     heads = groups.join(_in_enough(groups, fits, one, every, min_docs), one).select(*one, "head")
     told = saved(salted_join(fits.select(*one, "c"), heads, one, "c").select("leaf", "c", "head"), "told", folder)
     alone = kinds.where(F.col("docs") >= min_same).join(told.select("leaf", "c"), ["leaf", "c"], "left_anti").select("leaf", "c", F.col("rep").alias("head"))
-    gone = every.join(told.unionByName(alone), ["leaf", "c"]).where((F.col("k") != F.col("head.k")) | (F.col("n") != F.col("head.n")))
+    gone = salted_join(every, told.unionByName(alone), ["leaf", "c"], "k").where((F.col("k") != F.col("head.k")) | (F.col("n") != F.col("head.n")))
     return _codes(gone.select("k", "n", "c"))
 
 
