@@ -9,14 +9,15 @@ one. The last pre-token a chunk sees may be cut off by its end, so boundaries ne
 Pieces that begin and end at true boundaries are then encoded by the vocabulary's ranks. Decoding
 concatenates the raw bytes of the tokens.
 
-The chunks of a text of over ``deal`` characters are dealt over tasks to be pre-tokenised and meet again to be
-stitched; a shorter text's chunks are worked off in the task that reads it, where sending them would cost more.
+Every text goes this way. The chunks of a text of several are dealt over tasks to be pre-tokenised and meet again, in a
+task that stitches and encodes them. A text of one chunk has no neighbour to be stitched with: it is its only piece, and
+stays in the task that reads it.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +32,8 @@ from siltstone.llm.frames import fresh, map_batches, named, tidy
 
 CHUNK = 32_768
 OVERLAP = 2_048
-DEAL = 1 << 20
+#: Texts of more characters have their chunks dealt over tasks: all of more than one chunk.
+DEAL = CHUNK
 
 
 def read_ranks(path: str) -> bytes:
@@ -93,15 +95,15 @@ def trusted(ends: list[int], start: int, stop: int, n: int) -> list[int]:
     return [start + e for e in (ends if stop >= n else ends[:-2])]
 
 
-def stitch(texts: list[str], ranges: list[tuple[int, int]], found: list[list[int]], codec: Codec) -> list[tuple[int, int, int]]:
+def stitch(texts: list[str], ranges: list[tuple[int, int]], found: Sequence[list[int]], codec: Codec) -> list[tuple[int, int, int]]:
     """Pieces (chunk, start, end in the text) that tile the text at true boundaries.
 
-    texts: the chunks; found: their trusted boundaries. Where neighbours never agree, the text is
-    pre-tokenised on from the last true boundary.
+    texts: the chunks; found: their trusted boundaries (not looked at if there is only one chunk). Where neighbours
+    never agree, the text is pre-tokenised on from the last true boundary.
     """
     n = ranges[-1][1]
     cuts = [(0, 0)]  # (true boundary, chunk that goes on from it)
-    current = found[0]
+    current = found[0] if len(ranges) > 1 else []
     i = 0
     text_to = ranges[0][1]
     while i + 1 < len(ranges):
@@ -132,15 +134,22 @@ def _join(texts: list[str], ranges: list[tuple[int, int]], start: int, stop: int
     return "".join(out)
 
 
+def _near_edges(ends: list[int], start: int, stop: int, overlap: int) -> list[int]:
+    """Those boundaries of a chunk that a neighbour sees as well."""
+    return [e for e in ends if e <= start + overlap or e >= stop - overlap]
+
+
+def encode_chunks(texts: list[str], ranges: list[tuple[int, int]], found: Sequence[list[int]], codec: Codec) -> np.ndarray:
+    """Ids of a whole text out of its chunks and their boundaries."""
+    return np.concatenate([codec.encode_piece(_join(texts, ranges, s, e)) for _, s, e in stitch(texts, ranges, found, codec)])
+
+
 def encode_text(text: str, codec: Codec, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
     """Ids of a whole text, by chunks, in one process."""
-    if len(text) <= chunk:
-        return codec.encode_piece(text)
     ranges = chunk_ranges(len(text), chunk, overlap)
     texts = [text[s:e] for s, e in ranges]
-    found = [trusted(codec.boundaries(t), s, e, len(text)) for t, (s, e) in zip(texts, ranges, strict=True)]
-    pieces = stitch(texts, ranges, found, codec)
-    return np.concatenate([codec.encode_piece(text[s:e]) for _, s, e in pieces])
+    found = [trusted(codec.boundaries(t), s, e, len(text)) for t, (s, e) in zip(texts, ranges, strict=True)] if len(ranges) > 1 else []
+    return encode_chunks(texts, ranges, found, codec)
 
 
 def _packed(parts: list[np.ndarray]) -> pa.Array:
@@ -168,39 +177,55 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     def whole(texts: pa.Array, own: Codec) -> dict[str, pa.Array]:
         return {output: _packed([encode_text(x, own, chunk, overlap) for x in texts.to_pylist()])}
 
-    short = map_batches(source.where(F.length(t) <= deal), whole, [t], {output: T.BinaryType()}, keep, setup)
+    together = map_batches(source.where(F.length(t) <= deal), whole, [t], {output: T.BinaryType()}, keep, setup)
 
-    # Longer texts: each different one once, its chunks dealt over tasks.
-    sha = fresh(source, "_sha")
-    long = source.where(F.length(t) > deal).withColumn(sha, F.sha2(F.col(t).cast("binary"), 256))
-    different = long.select(F.col(sha).alias("sha"), F.col(t).alias("body")).dropDuplicates(["sha"])
-    cut_schema = "sha string, part int, start long, stop long, n long, body string"
+    # Chunks carry the number of their row, and the kept columns in the first of them.
+    kept = [f"_kept_{i}" for i in range(len(keep))]
+    rows = source.where(F.length(t) > deal).select(F.monotonically_increasing_id().alias("row"), F.col(t).alias("body"), *(named(c).alias(k) for c, k in zip(keep, kept, strict=True)))
+    place = [T.StructField("row", T.LongType()), T.StructField("part", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "stop", "n")), T.StructField("body", T.StringType())]
+    cut_schema = T.StructType([*place, *(T.StructField(k, rows.schema[k].dataType) for k in kept)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                key, body = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                rows = [(key, k, s, e, len(body), body[s:e]) for k, (s, e) in enumerate(chunk_ranges(len(body), chunk, overlap))]
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["sha", "part", "start", "stop", "n", "body"])
+                body = b.column(1)[i].as_py()
+                ranges = chunk_ranges(len(body), chunk, overlap)
+                m = len(ranges)
+                columns = [pa.array([b.column(0)[i].as_py()] * m, pa.int64()), pa.array(range(m), pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*ranges, strict=True)), pa.array([len(body)] * m, pa.int64()), pa.array([body[s:e] for s, e in ranges], pa.string())]
+                firsts = [b.column(j).take(pa.array([i] + [None] * (m - 1), pa.int64())) for j in range(2, 2 + len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, *firsts], names=cut_schema.names)
 
     def mark(bodies: pa.Array, starts: pa.Array, stops: pa.Array, n: pa.Array, own: Codec) -> dict[str, pa.Array]:
-        rows = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist(), n.to_pylist(), strict=True)
-        return {"ends": pa.array([trusted(own.boundaries(x), s, e, m) for x, s, e, m in rows], pa.list_(pa.int64()))}
-
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        own = Codec(shared.value, pattern)
-        texts, found = table.column("body").to_pylist(), table.column("ends").to_pylist()
-        ranges = list(zip(table.column("start").to_pylist(), table.column("stop").to_pylist(), strict=True))
-        ids = [own.encode_piece(_join(texts, ranges, s, e)) for _, s, e in stitch(texts, ranges, found, own)]
-        return pa.table({"sha": table.column("sha").slice(0, 1), output: _packed([np.concatenate(ids)])})
-
-    dealt = different.mapInArrow(tidy(cut), cut_schema).repartition(F.col("sha"), F.col("part"))
-    marked = map_batches(dealt, mark, ["body", "start", "stop", "n"], {"ends": T.ArrayType(T.LongType())}, ["sha", "part", "start", "stop", "body"], setup)
-    ids = marked.groupBy("sha").applyInArrow(join, T.StructType([T.StructField("sha", T.StringType()), T.StructField(output, T.BinaryType())]))
-    joined = long.select(*(named(c) for c in keep), F.col(sha)).join(ids.withColumnRenamed("sha", sha), sha)
-    return short.unionByName(joined.select(*(named(c) for c in keep), named(output)))
+        found = zip(bodies.to_pylist(), starts.to_pylist(), stops.to_pylist(), n.to_pylist(), strict=True)
+        return {"ends": pa.array([_near_edges(trusted(own.boundaries(x), s, e, m), s, e, overlap) for x, s, e, m in found], pa.list_(pa.int64()))}
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks come text by text and in order."""
+        own, held = setup(), []
+
+        def encoded() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            texts, found = table.column("body").to_pylist(), table.column("ends").to_pylist()
+            ranges = list(zip(table.column("start").to_pylist(), table.column("stop").to_pylist(), strict=True))
+            ids = _packed([encode_chunks(texts, ranges, found, own)])
+            return pa.RecordBatch.from_arrays([*(held[0].column(k).slice(0, 1) for k in kept), ids], names=[*kept, output])
+
+        for b in batches:
+            row = b.column("row").to_numpy()
+            edges = np.flatnonzero(np.diff(row, prepend=row[0] - 1)).tolist() if len(row) else []
+            for i, z in zip(edges, [*edges[1:], len(row)], strict=True):
+                if held and held[0].column("row")[0].as_py() != row[i]:
+                    yield encoded()
+                    held.clear()
+                held.append(b.slice(i, z - i))
+        if held:
+            yield encoded()
+
+    dealt = rows.mapInArrow(tidy(cut), cut_schema).repartition(F.col("row"), F.col("part"))
+    marked = map_batches(dealt, mark, ["body", "start", "stop", "n"], {"ends": T.ArrayType(T.LongType())}, ["row", "part", "start", "stop", "body", *kept], setup)
+    met = marked.repartition("row").sortWithinPartitions("row", "part")
+    joined = met.mapInArrow(tidy(join), T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField(output, T.BinaryType())]))
+    return together.unionByName(joined.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), named(output)))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str] | None = None, output: str = "decoded") -> DataFrame:
