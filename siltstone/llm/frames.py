@@ -45,7 +45,7 @@ FILE_BYTES = 32 << 20
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files (or other sources) that df is made from, as the planner knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:

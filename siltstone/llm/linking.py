@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components, labels
-from siltstone.llm.frames import few_files
+from siltstone.llm.frames import few_files, salted_join
 
 #: What a unit of comparison returns: (a, n, null) for n items linked with class a, (a, null, b) for an edge.
 UNIT_SCHEMA = "a long, n long, b long"
@@ -39,13 +39,18 @@ def unit_rows(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray,
 def resolve(items: DataFrame, key: str, members: DataFrame, classes: DataFrame, found: DataFrame, folder: str) -> DataFrame:
     """One row per item: key, ``n_links``, ``component_id`` and ``kept``.
 
-    members: ``id`` and ``digest`` of the items that can link; classes: ``digest``, ``rep`` and ``size``; found: the units' rows.
+    members: ``id`` and ``digest`` of the items that can link; classes: ``digest``, ``rep`` (the least key), ``node`` and ``size``; found: the
+    units' rows, which call classes by their node. Nodes are 64-bit hashes of digests.
     """
-    degree = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b"), f"{folder}/components").withColumnRenamed("node", "rep")
-    told = classes.select("digest", "rep", "size").join(degree, "rep", "left").join(roots, "rep", "left")
+    degree = found.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"), f"{folder}/components")
+    # Components are known by a node; the least key of their classes names them.
+    linked = classes.select("node", "rep").join(roots, "node").select("node", "rep", F.col("root").alias("top"))
+    least = linked.groupBy("top").agg(F.min("rep").alias("root"))
+    linked = salted_join(linked, least, ["top"], "node").select("node", "root").distinct()
+    told = classes.select("digest", "node", "rep", "size").join(degree, "node", "left").join(linked, "node", "left")
     told = told.select("digest", "rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("links"), F.coalesce("root", "rep").alias("root"))
-    known = members.join(told, "digest").select("id", "links", "root", "rep")
+    known = salted_join(members, told, ["digest"], "id").select("id", "links", "root", "rep")
     # Rows that share a key may belong to different classes: the most links and the least root hold.
     known = known.groupBy("id").agg(F.max("links").alias("links"), F.min("root").alias("root"), F.min("rep").alias("rep"))
     out = items.join(known, "id", "left")
