@@ -54,10 +54,14 @@ class Change:
             return []
         scan = Scan(self.table)
         live = scan.entries()
-        test = F.col("path").isin(self.removed) if self.removed else F.lit(False)
+        test = F.lit(False)
+        if self.removed:  # a list of this driver's: joined rather than spelt out in the plan
+            named = self.table.spark.createDataFrame([(p,) for p in dict.fromkeys(self.removed)], "removed string")
+            live = live.join(F.broadcast(named), F.col("path") == F.col("removed"), "left")
+            test = F.col("removed").isNotNull()
         if self.where is not None:
             test = test | P.strict(P.bind(self.where, base.schema))
-        found = [(r["sequence"], M.file_of(r)) for r in live.where(test).drop("status", "snapshot_id").toLocalIterator()]
+        found = [(r["sequence"], M.file_of(r)) for r in live.where(test).drop("status", "snapshot_id", "removed").toLocalIterator()]
         missing = set(self.removed) - {f.path for _, f in found}
         if missing:
             raise ValidationError(f"not in the table: {sorted(missing)}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -76,14 +77,27 @@ def write_files(
     return describe(df.sparkSession, store, names, schema, spec)
 
 
+_SETTING = threading.Lock()
+_held: dict[tuple[int, str], list] = {}
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    old = spark.conf.get(key)
-    spark.conf.set(key, value)
+    """A session's setting while files are written; of writers in several threads the last to leave restores it."""
+    with _SETTING:
+        entry = _held.setdefault((id(spark._jsparkSession), key), [0, None])
+        if entry[0] == 0:
+            entry[1] = spark.conf.get(key)
+            spark.conf.set(key, value)
+        entry[0] += 1
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        with _SETTING:
+            entry[0] -= 1
+            if entry[0] == 0:
+                spark.conf.set(key, entry[1])
+                del _held[id(spark._jsparkSession), key]
 
 
 def uri_of(store: LocalStore, name: str) -> str:
@@ -131,13 +145,17 @@ def footer(path: str) -> dict:
     return out
 
 
-def _from_footer(path: str, size: int, uri: str, read: dict, schema: Schema, spec: PartitionSpec, content: str = DATA, equality_ids: tuple[int, ...] | None = None) -> DataFile:
+def _from_footer(path: str, size: int, uri: str, read: dict, schema: Schema, spec: PartitionSpec, content: str = DATA, equality_ids: tuple[int, ...] | None = None, given: dict | None = None) -> DataFile:
+    given = given or {}
     kinds = {f.id: bound_kind(f.spark) for f in schema.fields}
     keep = lambda m: {k: v for k, v in m.items() if kinds.get(k)}
     lower, upper = keep(read["lower"]), keep(read["upper"])
     partition = {}
     for f in spec.fields:
         kind = schema.need(f.source_id).spark
+        if f.field_id in given:
+            partition[f.field_id] = given[f.field_id]
+            continue
         if read["nulls"].get(f.source_id) == read["values"].get(f.source_id):
             partition[f.field_id] = None
             continue
@@ -150,6 +168,44 @@ def _from_footer(path: str, size: int, uri: str, read: dict, schema: Schema, spe
     return DataFile(uri, read["rows"], size, spec.spec_id, schema.schema_id, content, partition, lower, upper, read["nulls"], read["values"], tuple(read["offsets"]) or None, equality_ids)
 
 
+def _from_rows(schema: Schema, spec: PartitionSpec) -> list:
+    """Partition fields whose value isn't told by bounds: Parquet has none of long strings, and none that hold for NaN."""
+    return [f for f in spec.fields if bound_kind(schema.need(f.source_id).spark) in ("string", "double")]
+
+
+def _tuple_columns(schema: Schema, spec: PartitionSpec) -> list[Column]:
+    """Of a file's rows, the least and the largest value of these fields."""
+    out = []
+    for f in _from_rows(schema, spec):
+        source = schema.need(f.source_id)
+        value = f.transform.column(F.col(f"`{source.name}`"), source.spark)
+        out += [F.min(value).alias(f"least{f.field_id}"), F.max(value).alias(f"most{f.field_id}")]
+    return out
+
+
+def _given(path: str, row: dict, schema: Schema, spec: PartitionSpec) -> dict:
+    out = {}
+    for f in _from_rows(schema, spec):
+        low, high = row[f"least{f.field_id}"], row[f"most{f.field_id}"]
+        if low != high and not (low != low and high != high):  # NaN isn't equal to itself
+            raise ValidationError(f"{path} holds more than one value of {f.name}")
+        out[f.field_id] = low
+    return out
+
+
+def _tuples(spark: SparkSession, store: LocalStore, names: list[str], schema: Schema, spec: PartitionSpec) -> dict[str, dict]:
+    """By file, the values of these fields, from one aggregation over their columns in the new files."""
+    if not names or not _from_rows(schema, spec):
+        return {}
+    df = spark.read.schema(schema.struct()).parquet(*(f"{store.uri}/{n}" for n in names))
+    rows = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*_tuple_columns(schema, spec)).toLocalIterator()
+    depths, out = {n.count("/") + 1 for n in names}, {}
+    for r in rows:
+        tails = ("/".join(r.path.split("/")[-d:]) for d in depths)
+        out |= {n: _given(r.path, r.asDict(), schema, spec) for n in tails}
+    return out
+
+
 def describe(spark: SparkSession, store: LocalStore, names: list[str], schema: Schema, spec: PartitionSpec, content: str = DATA, equality_ids: tuple[int, ...] | None = None) -> list[DataFile]:
     """Describe written files. On a local path footers are read, by tasks if there are many; elsewhere Spark aggregates the files."""
     if not isinstance(store, LocalStore):
@@ -169,7 +225,8 @@ def describe(spark: SparkSession, store: LocalStore, names: list[str], schema: S
         got = {r.name: json.loads(r.footer) for r in frame.mapInArrow(run, "name string, footer string").collect()}
         numbered = lambda m: {int(k): v for k, v in m.items()}
         read = [{k: numbered(v) if isinstance(v, dict) else v for k, v in got[n].items()} for n in names]
-    return [_from_footer(n, sizes[n], uri_of(store, n), r, schema, spec, content, equality_ids) for n, r in zip(names, read, strict=True) if r["rows"]]
+    tuples = _tuples(spark, store, names, schema, spec)
+    return [_from_footer(n, sizes[n], uri_of(store, n), r, schema, spec, content, equality_ids, tuples.get(n)) for n, r in zip(names, read, strict=True) if r["rows"]]
 
 
 def _describe_by_scan(spark: SparkSession, store, names: list[str], schema: Schema, spec: PartitionSpec, content: str, equality_ids: tuple[int, ...] | None) -> list[DataFile]:
@@ -177,7 +234,7 @@ def _describe_by_scan(spark: SparkSession, store, names: list[str], schema: Sche
     if not names:
         return []
     df = spark.read.schema(schema.struct()).parquet(*(f"{store.uri}/{n}" for n in names))
-    aggs = [F.count(F.lit(1)).alias("n"), F.first("_metadata.file_size").alias("size")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.first("_metadata.file_size").alias("size"), *_tuple_columns(schema, spec)]
     for f in schema.fields:
         c = F.col(f"`{f.name}`")
         aggs.append(F.count(c).alias(f"v{f.id}"))
@@ -190,5 +247,5 @@ def _describe_by_scan(spark: SparkSession, store, names: list[str], schema: Sche
         bounds = {s: {f.id: d[f"{s}{f.id}"] for f in schema.fields if d.get(f"{s}{f.id}") is not None and d[f"{s}{f.id}"] == d[f"{s}{f.id}"]} for s in "lu"}
         both = bounds["l"].keys() & bounds["u"].keys()
         read = {"rows": d["n"], "offsets": [], "lower": {k: bounds["l"][k] for k in both}, "upper": {k: bounds["u"][k] for k in both}, "nulls": {f.id: d["n"] - d[f"v{f.id}"] for f in schema.fields}, "values": {f.id: d["n"] for f in schema.fields}}
-        out.append(_from_footer(d["path"], d["size"], d["path"], read, schema, spec, content, equality_ids))
+        out.append(_from_footer(d["path"], d["size"], d["path"], read, schema, spec, content, equality_ids, _given(d["path"], d, schema, spec)))
     return out

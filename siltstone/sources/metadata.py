@@ -197,6 +197,7 @@ class TableMetadata:
     snapshots: tuple[Snapshot, ...] = ()
     log: tuple[tuple[int, int], ...] = ()  # (timestamp ms, snapshot id) of every change of the current snapshot
     format_version: int = 2
+    properties: dict[str, str] = field(default_factory=dict)
 
     @property
     def schema(self) -> Schema:
@@ -238,6 +239,9 @@ class TableMetadata:
     def with_current(self, snapshot_id: int, timestamp_ms: int) -> TableMetadata:
         return replace(self, current_snapshot_id=snapshot_id, log=(*self.log, (timestamp_ms, snapshot_id)))
 
+    def with_property(self, key: str, value: str) -> TableMetadata:
+        return replace(self, properties=self.properties | {key: value})
+
     def with_schema(self, schema: Schema) -> TableMetadata:
         schema = replace(schema, schema_id=max(s.schema_id for s in self.schemas) + 1)
         return replace(self, schemas=(*self.schemas, schema), current_schema_id=schema.schema_id)
@@ -260,6 +264,7 @@ class TableMetadata:
                 "current-snapshot-id": self.current_snapshot_id,
                 "snapshots": [s.__dict__ for s in self.snapshots],
                 "snapshot-log": [list(x) for x in self.log],
+                "properties": self.properties,
             },
             indent=1,
         )
@@ -281,4 +286,5 @@ class TableMetadata:
             tuple(Snapshot(**{k: v for k, v in s.items() if k in known}) for s in d["snapshots"]),
             tuple(tuple(x) for x in d["snapshot-log"]),
             d.get("format-version", 2),
+            d.get("properties", {}),
         )

@@ -11,6 +11,10 @@ from siltstone.operators.table import Table
 from siltstone.operators.updates import Append
 
 
+#: Before a stream's name: the property that holds the last batch committed.
+_KEY = "stream.last-batch."
+
+
 class _BatchAppend(Append):
     """An append that records which batch it is, and does nothing if that was committed before."""
 
@@ -19,15 +23,15 @@ class _BatchAppend(Append):
         self.stream, self.batch = stream, batch
 
     def _apply(self, base):
-        return base if committed(base, self.stream, self.batch) else super()._apply(base)
+        return base if committed(base, self.stream, self.batch) else super()._apply(base).with_property(_KEY + self.stream, str(self.batch))
 
     def _summary(self, files_gone: int, rows_gone: int) -> dict[str, str]:
         return super()._summary(files_gone, rows_gone) | {"stream": self.stream, "batch": str(self.batch)}
 
 
 def committed(meta, stream: str, batch: int) -> bool:
-    """Whether some snapshot has this batch, or a later one, of a stream."""
-    return any(s.summary.get("stream") == stream and int(s.summary["batch"]) >= batch for s in meta.snapshots)
+    """Whether this batch, or a later one, of a stream has been committed. The table's properties tell, even when the snapshot has expired."""
+    return int(meta.properties.get(_KEY + stream, -1)) >= batch or any(s.summary.get("stream") == stream and int(s.summary["batch"]) >= batch for s in meta.snapshots)
 
 
 def append_batches(table: Table, stream: str) -> Callable[[DataFrame, int], None]:

@@ -10,12 +10,14 @@ from siltstone.errors import AlreadyExists, CommitFailed, NoSuchTable, Validatio
 from siltstone.functions.predicates import col
 from siltstone.functions.transforms import DAY, HOUR
 from siltstone.operators.table import external_file
+from siltstone.sources import files as FL
 from siltstone.sources.catalog import Catalog, scratch
 from siltstone.sources.commit import TableOps
 from siltstone.sources.files import footer
 from siltstone.sources.metadata import DataFile, PartitionSpec, TableMetadata, new_snapshot_id
 from siltstone.sources.schema import Schema
 from siltstone.sources.store import LocalStore
+from siltstone.streaming.sink import append_batches
 
 D = 20_661
 EVENTS = Schema.of(("id", "long", True), ("name", "string", True), ("event_time", "long", True), ("category", "string", True), ("age", "long", True))
@@ -549,3 +551,35 @@ def test_reading_task_by_task(spark, catalog):
     t.new_row_delta().delete_equal(spark.createDataFrame([(1,)], "id long")).commit()
     with pytest.raises(ValidationError):
         task_df(t.scan())
+
+
+def test_partitions_that_bounds_do_not_tell(spark, catalog, monkeypatch):
+    rows = [(float("nan"), "x" * 6000), (-0.0, "xy" * 3000), (0.0, "y" * 5000), (None, None), (2.5, "short")]
+    df = spark.createDataFrame(rows, "d double, s string")
+    for i, limit in enumerate((64, 0)):
+        monkeypatch.setattr(FL, "DRIVER_FOOTERS", limit)
+        t = catalog.create(f"odd{i}", df, lambda s: PartitionSpec.builder(s).truncate("s", 3).identity("d").build())
+        t.append(df)
+        t.append(df)
+        found = t.scan().files()
+        trunc, number = (f.field_id for f in t.spec.fields)
+        assert {(f.partition[trunc], str(f.partition[number]).lstrip("-")) for f in found} == {("xxx", "nan"), ("xyx", "0.0"), ("yyy", "0.0"), (None, "None"), ("sho", "2.5")}
+        assert sorted(len(r.s or "") for r in t.to_df(col("s") < "xyz").collect()) == [5, 5, 6000, 6000, 6000, 6000]
+        assert t.to_df(col("d") > 1.0).count() == 4
+
+
+def test_a_batch_is_not_appended_again_after_its_snapshot_expired(spark, catalog):
+    df = spark.createDataFrame([(1,)], "a int")
+    t = catalog.create("batches", df)
+    write = append_batches(t, "one")
+    write(df, 0)
+    write(df, 1)
+    t.append(df)
+    t.expire_snapshots(older_than_ms=2**62)
+    write = append_batches(catalog.load("batches"), "one")
+    write(df, 0)
+    write(df, 1)
+    assert catalog.load("batches").to_df().count() == 3
+    write(df, 2)
+    append_batches(catalog.load("batches"), "other")(df, 0)
+    assert catalog.load("batches").to_df().count() == 5
