@@ -29,10 +29,12 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under spark.checkpoint.dir, which the driver and all executors see.
 
-    Where that setting is absent (tests on one machine) a local temporary folder is set for checkpoints.
+    Where that setting is absent, a temporary folder is set for checkpoints on one machine (master ``local``); on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"

@@ -3,8 +3,8 @@ r"""Personal data, with DataFrame functions only.
 Regular expressions propose spans, checksums (Luhn for card numbers, mod-97 for bank accounts) and
 bounds confirm them, and words near a span raise or lower its score. The text between matches comes from
 ``split`` with the same expression, so positions are running sums of lengths in code points, and the
-words around a span are read from the pieces beside it. A row's work is linear in its text (running sums
-go by blocks), rows are independent and nothing is shuffled.
+words around a span are read from the pieces beside it. Running sums go by blocks of blocks, so a row's work is in proportion to its
+text up to millions of matches; rows are independent and nothing is shuffled.
 
 The expressions are written so that the JVM's matcher neither recurses nor rescans: repeated groups
 are possessive, and a run that can't start a match is entered only at its start or where the last match
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.frames import fresh, named
 
 BEFORE, AFTER = 48, 24
-SUM_BLOCK = 256
+#: Running sums go by blocks of so many numbers, and by blocks of so many blocks.
+SUM_BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,27 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, v: a + v)
 
 
+def _by_blocks(numbers: Column) -> Column:
+    """Sums of the blocks of an array that isn't empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / SUM_BLOCK).cast("int")), lambda b: _total(F.slice(numbers, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK))))
+
+
+def _block_starts(numbers: Column) -> Column:
+    """For each block of an array that isn't empty, the sum of all numbers before it."""
+
+    def with_sums(sums: Column) -> Column:
+        def with_larger(larger: Column) -> Column:
+            def before(b: Column) -> Column:
+                c = F.floor(b / SUM_BLOCK).cast("int")
+                return _total(F.slice(larger, F.lit(1), c)) + _total(F.slice(sums, c * SUM_BLOCK + 1, b - c * SUM_BLOCK))
+
+            return F.transform(F.sequence(F.lit(0), F.size(sums) - 1), before)
+
+        return _let(_by_blocks(sums), with_larger)
+
+    return _let(_by_blocks(numbers), with_sums)
+
+
 def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
@@ -132,13 +154,10 @@ def _spans(text: Column, k: Kind, rank: int) -> Column:
             steps = F.transform(zipped, lambda c: (F.length(c["m"]) + F.length(c["p"])).cast("long"))
 
             def with_steps(st: Column) -> Column:
-                parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(st) - 1) / SUM_BLOCK).cast("int")), lambda b: _total(F.slice(st, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK))))
-
-                def with_parts(pa: Column) -> Column:
+                def with_starts(starts: Column) -> Column:
                     def one(c: Column, i: Column) -> Column:
                         b = F.floor(i / SUM_BLOCK).cast("int")
-                        before = _total(F.slice(pa, F.lit(1), b)) + _total(F.slice(st, b * SUM_BLOCK + 1, i - b * SUM_BLOCK))
-                        start = before + F.length(c["p"])
+                        start = F.get(starts, b) + _total(F.slice(st, b * SUM_BLOCK + 1, i - b * SUM_BLOCK)) + F.length(c["p"])
                         return F.struct(
                             start.alias("start"),
                             F.lit(rank).alias("rank"),
@@ -151,7 +170,7 @@ def _spans(text: Column, k: Kind, rank: int) -> Column:
 
                     return F.transform(zipped, one)
 
-                return _let(parts, with_parts)
+                return _let(_block_starts(st), with_starts)
 
             return _let(steps, with_steps)
 
