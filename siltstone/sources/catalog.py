@@ -69,6 +69,10 @@ class Catalog:
 
 def scratch(spark: SparkSession) -> Catalog:
     """A catalog in a new folder that the driver and all executors see: below spark.checkpoint.dir, or,
-    where that isn't set, a temporary folder of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='siltstone-tables-')}"
+    where that isn't set, a temporary folder if all is on one machine (master ``local``); on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        base = f"file://{tempfile.mkdtemp(prefix='siltstone-tables-')}"
     return Catalog(spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
