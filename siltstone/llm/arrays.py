@@ -85,7 +85,7 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
 
 @dataclass
 class Words:
-    """Words of a block: byte ranges, 64-bit hashes of their lower-cased bytes, and per row the range of words."""
+    """Words of a block: byte ranges, hashes of their lower-cased bytes (``token_hashes``), and per row the range of words."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -118,8 +118,46 @@ def ranges_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(begin), np.flatnonzero(stop) + 1
 
 
+#: Values of a byte at each of the first places of a token; those further on are worked out when they are needed.
+PLACES = 64
+_KEY = np.uint64(0x5851F42D4C957F2D)
+
+
+def _drawn(code: np.ndarray) -> np.ndarray:
+    """A pseudo-random 64-bit value for each place and byte."""
+    return mix(mix(code.astype(np.uint64) + _KEY) + _KEY)
+
+
+_DRAWN = _drawn(np.arange(PLACES * 256))
+
+
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that aren't empty and don't overlap, by tabulation: the sum of a value drawn for each place and byte.
+
+    Two different tokens of any lengths and bytes hash alike with probability 2**-64 over the draw of the values; unlike a
+    polynomial modulo 2**64 it has no tokens, however long, that collide whatever the key.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(first[-1] + size[-1])
+    at = place + np.repeat(starts - first, size)
+    place -= np.repeat(first, size)
+    code = place << 8
+    code |= data[at]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        value = _DRAWN[np.minimum(code, len(_DRAWN) - 1)]
+        value[far] = _drawn(code[far])
+    else:
+        value = _DRAWN[code]
+    return mix(np.add.reduceat(value, first))
+
+
 class RangeHasher:
-    """64-bit hashes of byte ranges; equal bytes hash alike wherever they stand."""
+    """64-bit hashes of byte ranges, which may overlap; equal bytes hash alike wherever they stand. A polynomial modulo 2**64: good
+    for features, not for telling tokens apart (see ``token_hashes``)."""
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
@@ -143,7 +181,7 @@ def words(block: Block, lower: bool = True) -> Words:
     """The words of every row of a block."""
     data = LOWER[block.data] if lower else block.data
     starts, ends = ranges_of(WORD[block.data], block.offsets)
-    return Words(starts, ends, range_hashes(data, starts, ends), np.searchsorted(starts, block.offsets))
+    return Words(starts, ends, token_hashes(data, starts, ends), np.searchsorted(starts, block.offsets))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrays import Block, RangeHasher, blocks, mix, ranges_of
+from siltstone.llm.arrays import Block, blocks, mix, ranges_of, token_hashes
 from siltstone.llm.frames import few_files, fresh, map_batches, named, salted_join, saved, shared_dir, tidy
 
 DEPTH = 4
@@ -61,7 +61,7 @@ def lines(block: Block, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, exact:
     np.cumsum((data >= 48) & (data <= 57), out=digits[1:], dtype=np.int32)
     row = np.searchsorted(block.offsets, s, "right") - 1
     number = newlines[s] - newlines[block.offsets[row]]
-    plain = RangeHasher(data)(s, e)
+    plain = token_hashes(data, s, e)
     tokens = np.where(digits[e] > digits[s], _FIELD, plain)
     begin = np.ones(len(s), bool)
     begin[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
