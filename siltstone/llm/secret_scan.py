@@ -13,6 +13,7 @@ Blocks are independent, so there is no shuffle, and no key or source can be hot.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from re import _constants as C
 from re import _parser
@@ -30,16 +31,28 @@ EXACT_MAX = 16
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches are leftmost and don't overlap; one whose group is shorter than min_len is dropped."""
+    """A kind of secret: matches are leftmost and don't overlap; one whose group is shorter than min_len is dropped.
+
+    ``walk`` is for patterns that begin again at many places of one run: it has the pattern's matches in its
+    group 1, and else takes up what no match can begin in, so that a run is read a bounded number of times.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     min_len: int = 1
     ignore_case: bool = False
+    walk: str | None = None
 
     def compiled(self) -> re.Pattern[bytes]:
-        return re.compile(self.pattern.encode(), re.I if self.ignore_case else 0)
+        return re.compile((self.walk or self.pattern).encode(), re.I if self.ignore_case else 0)
+
+    def matches(self, compiled: re.Pattern[bytes], text: bytes) -> Iterator[tuple[int, int]]:
+        """Start and end of every match in a text, in bytes."""
+        group = 1 if self.walk else self.group
+        for m in compiled.finditer(text):
+            if m.end(group) >= 0 and m.end(group) - m.start(group) >= self.min_len:
+                yield m.span(1 if self.walk else 0)
 
 
 # The patterns of the kinds of secrets.
@@ -52,7 +65,8 @@ MORE_RULES = [
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    # What fails from the first eyJ of a run fails from each later one: the run's end and what follows are the same, the rest shorter.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", walk=r"(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+)|eyJ[A-Za-z0-9_-]*+"),
     Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._~-]{1,64}:[A-Za-z0-9._~%+-]{1,64}@"),
 ]
 RULES = BASE_RULES + MORE_RULES
@@ -200,9 +214,8 @@ class Scanner:
         for k, (rule, pattern, q) in enumerate(zip(self.rules, self.compiled, self.queries, strict=True)):
             for r in np.flatnonzero(self.rows(q, bits)).tolist():
                 text = texts.get(r) or texts.setdefault(r, block.text(r))
-                for m in pattern.finditer(text):
-                    if m.end(rule.group) - m.start(rule.group) >= rule.min_len:
-                        found.setdefault(r, []).append((m.start(), k, m.end()))
+                for start, end in rule.matches(pattern, text):
+                    found.setdefault(r, []).append((start, k, end))
         for r, spans in found.items():
             text = texts[r]
             if not text.isascii():

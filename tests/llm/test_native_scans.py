@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -105,3 +106,22 @@ def test_trigram_queries_hold_for_every_match():
     assert trigram_query(Rule("x", "ab+c?d")) is True
     assert trigram_query(Rule("x", "(abc|de[fg]h)xyz")) is not True
     assert Scanner(RULES).slots
+
+
+def test_walks_find_what_the_patterns_find():
+    rng = random.Random(5)
+    parts = ["eyJ", "eyJ", ".", ".", "a" * 5, "b" * 7, "-_", " ", "é", "eyJ" + "c" * 10 + "." + "d" * 10 + ".", "eeyJ"]
+    for rule in (r for r in RULES if r.walk):
+        for _ in range(20_000):
+            text = "".join(rng.choices(parts, k=rng.randrange(1, 14))).encode()
+            plain = [m.span() for m in re.finditer(rule.pattern.encode(), text)]
+            assert list(rule.matches(rule.compiled(), text)) == plain, text
+
+
+def test_long_runs_take_time_in_proportion():
+    # Beginning anew at each of the 700,000 places would take hours.
+    for text in (b"eyJ" * 700_000, (b"eyJ" * 5 + b".") * 100_000 + b" "):
+        began = time.monotonic()
+        found = [list(r.matches(r.compiled(), text)) for r in RULES if r.kind == "jwt"]
+        assert time.monotonic() - began < 20
+        assert all(e - s > 20 for spans in found for s, e in spans)
