@@ -15,3 +15,7 @@ class CommitFailed(Exception):
 
 class ValidationError(Exception):
     """Metadata, an argument or a state doesn't allow the operation."""
+
+
+class SimulatedCrash(Exception):
+    """Raised on purpose before a version is published, to see that the table stays as it was."""

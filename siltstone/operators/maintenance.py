@@ -1,10 +1,11 @@
-"""Maintenance: rewrite small files, expire snapshots, remove files that nothing refers to."""
+"""Maintenance: rewrite small files and manifests, expire snapshots, remove files that nothing refers to."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from itertools import batched
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from siltstone.errors import CommitFailed, ValidationError
 from siltstone.functions import predicates as P
-from siltstone.operators.updates import Change, Overwrite
+from siltstone.operators.updates import Change, Overwrite, commit_snapshot
 from siltstone.sources import manifests as M
-from siltstone.sources.metadata import DELETED, DataFile, Snapshot, TableMetadata
+from siltstone.sources.commit import commit_with_retry
+from siltstone.sources.metadata import DELETED, EXISTING, DataFile, Snapshot, TableMetadata, new_snapshot_id
 
 if TYPE_CHECKING:
     from siltstone.operators.table import Table
@@ -83,6 +85,37 @@ def rewrite_data_files(table: Table, target_bytes: int = REWRITE_TARGET, predica
     return RewriteResult(len(chosen), len(change.added), size, sum(f.file_size for f in change.added))
 
 
+def rewrite_manifests(table: Table) -> tuple[int, int]:
+    """Write the live entries of the current snapshot into as few manifests as hold them, by spec and partition; the
+    numbers of manifests before and after. Rows, files and the entries' sequence numbers stay as they are, and so do earlier
+    snapshots. Planning then reads a number of manifests that follows the number of files, not that of commits.
+
+    Entries pass through the driver a manifest at a time. One data manifest, or one of row deletes, is left alone.
+    """
+    counts = (0, 0)
+
+    def apply(base: TableMetadata) -> TableMetadata:
+        nonlocal counts
+        old = M.read_list(table.store, base.current.manifest_list) if base.current else []
+        snapshot_id, sequence, new = new_snapshot_id(), base.last_sequence + 1, []
+        for deletes in (False, True):
+            own = [m for m in old if m.deletes == deletes]
+            if len(own) < 2:
+                new += own
+                continue
+            found = M.live(M.entries(table.spark, table.store, base, own, deletes), own)
+            rows = found.orderBy("spec_id", F.to_json("partition"), "path").drop("status", "snapshot_id")
+            for run in batched(rows.toLocalIterator(), M.MANIFEST_ENTRIES):
+                new += M.write_manifest(table.store, [(EXISTING, r["sequence"], M.file_of(r)) for r in run], snapshot_id, sequence, deletes)
+        counts = len(old), len(new)
+        if [m.path for m in new] == [m.path for m in old]:
+            return base
+        return commit_snapshot(table, base, new, snapshot_id, sequence, {"operation": "replace", "manifests-replaced": str(len(old)), "manifests-written": str(len(new))})
+
+    commit_with_retry(table.ops, apply)
+    return counts
+
+
 @dataclass(frozen=True)
 class ExpireResult:
     """Snapshots that went, and files deleted with them."""

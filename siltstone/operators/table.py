@@ -161,6 +161,9 @@ class Table:
     def rewrite_data_files(self, target_bytes: int = maintenance.REWRITE_TARGET, predicate: P.Predicate = P.TRUE) -> maintenance.RewriteResult:
         return maintenance.rewrite_data_files(self, target_bytes, predicate)
 
+    def rewrite_manifests(self) -> tuple[int, int]:
+        return maintenance.rewrite_manifests(self)
+
     def expire_snapshots(self, older_than_ms: int | None = None, retain_last: int = 1, ids: tuple[int, ...] = (), delete_with: Callable[[str], None] | None = None) -> maintenance.ExpireResult:
         return maintenance.expire_snapshots(self, older_than_ms, retain_last, ids, delete_with)
 

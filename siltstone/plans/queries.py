@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.errors import SimulatedCrash
+from siltstone.functions import predicates as P
 from siltstone.functions.predicates import col
 from siltstone.functions.transforms import Transform
 from siltstone.operators.planning import plan, split
@@ -18,6 +20,7 @@ from siltstone.operators.table import Table
 from siltstone.operators.task_reader import task_df
 from siltstone.plans.sql_filters import where
 from siltstone.sources.catalog import Catalog, scratch
+from siltstone.sources.commit import HINT, TableOps
 from siltstone.sources.metadata import DataFile, PartitionSpec
 from siltstone.sources.raw import column_bytes, csv_round_trip, read_merged, row_groups_kept
 from siltstone.sources.schema import Schema
@@ -439,6 +442,15 @@ def compact_applies_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.to_df().select("c_custkey", "c_name")
 
 
+@query("SELECT c_custkey, c_name, 5 AS before, 1 AS after FROM customer WHERE c_custkey % 4 <> 1")
+def manifests_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of five commits, one of which deletes a file, in one manifest."""
+    t = _many_files(spark, sf_dir)
+    t.new_delete().delete_file(t.files().orderBy("sequence").select("path").collect()[1].path).commit()
+    before, after = t.rewrite_manifests()
+    return t.to_df().select("c_custkey", "c_name", F.lit(before).alias("before"), F.lit(after).alias("after"))
+
+
 @query("SELECT c_custkey, c_name, 4 AS expired, 4 AS data_files FROM customer")
 def expire_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old snapshots and the files only they hold go; the current rows stay."""
@@ -578,6 +590,76 @@ def catalog_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("a", int(before), int(after), int(dropped), int(catalog.exists("ns.a")))], "name string, exists_before int, exists_after int, dropped int, exists_last int")
 
 
+@query("SELECT c_custkey, c_name, 5 AS version, 5 AS without_hint FROM customer")
+def version_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version, found from a hint that lags behind and by listing when there is none."""
+    t = _many_files(spark, sf_dir)
+    t.store.replace(HINT, "2")
+    late = TableOps(t.store)
+    late.refresh()
+    t.store.delete(HINT)
+    t.refresh()
+    listed = TableOps(t.store)
+    listed.refresh()
+    return t.to_df().select("c_custkey", "c_name", F.lit(late.version).alias("version"), F.lit(listed.version).alias("without_hint"))
+
+
+class _CrashingOnce(TableOps):
+    """Fails once when a version is ready to be published."""
+
+    crashed = False
+
+    def before_publish(self) -> None:
+        if not self.crashed:
+            self.crashed = True
+            raise SimulatedCrash("before publishing")
+
+
+@query(f"SELECT {ROWS}, 1 AS crashed, 0 AS rows_then FROM events")
+def crash_before_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit that crashes leaves the table as it was; the next one goes through."""
+    df = _read(spark, sf_dir, "events")
+    t = scratch(spark).create("t", df, _by_day)
+    t.ops = _CrashingOnce(t.store)
+    crashed = 0
+    try:
+        t.append(df)
+    except SimulatedCrash:
+        crashed = 1
+    then = t.refresh().to_df().count()
+    t.append(df)
+    return t.to_df().select(*_PICK, F.lit(crashed).alias("crashed"), F.lit(then).cast("int").alias("rows_then"))
+
+
+@query("SELECT 2 AS snapshots, 3 AS manifests, 1 AS current")
+def metadata_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots and manifests as the printed tree has them: the second snapshot holds the first one's manifest too."""
+    lines = _two_batches(spark, sf_dir).tree().split("\n")[1:]
+    seen = [line.startswith("  snapshot ") for line in lines]
+    return spark.createDataFrame([(sum(seen), len(seen) - sum(seen), sum(line.endswith("(current)") for line in lines))], "snapshots int, manifests int, current int")
+
+
+@query("SELECT DISTINCT '{ts_day=' || datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) || '}' AS part FROM events")
+def partition_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition tuples as text."""
+    t = _events(spark, sf_dir)
+    return spark.createDataFrame(sorted({(t.spec.describe(f.partition),) for f in t.scan().files()}), "part string")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, repeat(c_name, 400) AS s FROM customer) WHERE s >= 'Customer#000000010'")
+def missing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without bounds of a column (its strings are too long for statistics) stay in the plan."""
+    t = _filled(spark, _read(spark, sf_dir, "customer").select("c_custkey", F.repeat("c_name", F.lit(400)).alias("s")))
+    return t.to_df(col("s") >= "Customer#000000010").select("c_custkey")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 100 AND c_custkey <= 700")
+def widened_and_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An integer compared with a column of fractions; constants that fold away."""
+    t = _filled(spark, _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    return t.to_df(((col("c_acctbal") > 100) & P.TRUE & (col("c_custkey") <= 700)) | P.FALSE)
+
+
 def queries() -> dict[str, Query]:
     """Every query of this module, by name."""
     return dict(_QUERIES)

@@ -583,3 +583,35 @@ def test_a_batch_is_not_appended_again_after_its_snapshot_expired(spark, catalog
     write(df, 2)
     append_batches(catalog.load("batches"), "other")(df, 0)
     assert catalog.load("batches").to_df().count() == 5
+
+
+def test_rewritten_manifests_hold_what_the_old_ones_held(spark, catalog, monkeypatch):
+    df = spark.range(40).selectExpr("id", "id % 4 as k")
+    t = catalog.create("t", df, lambda s: PartitionSpec.builder(s).identity("k").build())
+    assert t.rewrite_manifests() == (0, 0)
+    t.append(df.where("id < 20"))
+    assert t.rewrite_manifests() == (1, 1) and len(t.metadata.snapshots) == 1
+    t.new_row_delta().delete_equal(spark.createDataFrame([(3,), (25,)], "id long")).commit()
+    t.update_spec().remove("k").commit()
+    t.append(df.where("id >= 20"))
+    t.new_row_delta().delete_equal(spark.createDataFrame([(4,), (30,)], "id long")).commit()
+    t.delete_where(col("k") == 1)
+    def rows(df):
+        return sorted(r.id for r in df.collect())
+
+    before, old = rows(t.to_df()), [(s.snapshot_id, rows(t.scan().use_snapshot(s.snapshot_id).to_df())) for s in t.metadata.snapshots]
+    assert 25 in before and 3 not in before and 30 not in before and 1 not in before
+    sequences = {(r.path, r.sequence) for r in t.files().collect()}
+    had, has = t.rewrite_manifests()
+    assert (had, has) == (5, 3) and t.current_snapshot.operation == "replace"
+    assert {(r.path, r.sequence) for r in t.files().collect()} == sequences
+    assert rows(t.to_df()) == before and [(i, rows(t.scan().use_snapshot(i).to_df())) for i, _ in old] == old
+    t.append(df.where("id = 3"))
+    assert rows(t.to_df()) == sorted([*before, 3])
+    monkeypatch.setattr("siltstone.sources.manifests.MANIFEST_ENTRIES", 2)
+    n = t.files().count()
+    _, has = t.rewrite_manifests()
+    assert has >= n / 2 and rows(t.to_df()) == sorted([*before, 3])
+    t.expire_snapshots(older_than_ms=2**62)
+    t.remove_orphan_files(older_than_ms=2**62)
+    assert rows(t.refresh().to_df()) == sorted([*before, 3])
