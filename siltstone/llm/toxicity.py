@@ -3,7 +3,7 @@
 Words are lower-cased and represented by the sum of hashed embeddings: of the whole word and of its
 first 4, 6 and 8 bytes, so that inflected and compounded forms of a stem share what is learnt. Filters over
 one, two and three words are max-pooled over the whole text and combined to a logit. Embeddings and filters
-are trained in numpy on the driver with a bounded sample of labelled rows; first estimates of the
+are trained in numpy, a network in a task, with a bounded sample of labelled rows; first estimates of the
 embeddings come from document frequencies in the two classes. The logit at which a text counts as toxic is
 calibrated for each language on logits of all rows, each from a network trained without it; the language is guessed from the text's
 own frequent words, never read from a column.
@@ -13,16 +13,18 @@ Scoring passes every word of every text, block by block, without a shuffle.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import LOWER, WORD, Block, RangeHasher, blocks, mix, ranges_of
-from siltstone.llm.frames import map_batches
+from siltstone.llm.frames import map_batches, tidy
 from siltstone.llm.labelled import collected, labelled_sample
 
 #: Labelled rows to learn and calibrate from.
@@ -245,14 +247,34 @@ def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float(edge[least[len(least) // 2]])
 
 
-def unseen_logits(bags: list[np.ndarray], y: np.ndarray, part: np.ndarray, seed: int = 7) -> np.ndarray:
-    """The logit of each text from a network trained on the other parts."""
-    out = np.zeros(len(bags))
-    for p in np.unique(part):
-        net = train([b for b, q in zip(bags, part, strict=True) if q != p], y[part != p], seed=seed)
-        for i in np.flatnonzero(part == p):
-            out[i] = net.forward(bags[i], np.array([0, len(bags[i])]))[0][0]
-    return out
+def unseen_logits(bags: list[np.ndarray], y: np.ndarray, part: np.ndarray, p: int, seed: int = 7) -> np.ndarray:
+    """The logits of the texts of part ``p`` from a network trained on the other parts."""
+    net = train([b for b, q in zip(bags, part, strict=True) if q != p], y[part != p], seed=seed)
+    own = [bags[i] for i in np.flatnonzero(part == p)]
+    return np.array([net.forward(b, np.array([0, len(b)]))[0][0] for b in own])
+
+
+def train_all(spark: SparkSession, bags: list[np.ndarray], y: np.ndarray, part: np.ndarray, seed: int = 7) -> tuple[Network, np.ndarray]:
+    """The network of all texts, and each text's logit from one trained without its part.
+
+    One task trains one network. Each gets all texts, whose features are bounded, by broadcast.
+    """
+    parts = [int(p) for p in np.unique(part)]
+    shared = spark.sparkContext.broadcast((bags, y, part))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i in (i for b in batches for i in b.column(0).to_pylist()):
+            own = shared.value
+            made = train(own[0], own[1], seed=seed) if i == len(parts) else unseen_logits(*own, parts[i], seed)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(made)], pa.binary())], names=["id", "made"])
+
+    tasks = spark.range(0, len(parts) + 1, 1, len(parts) + 1)
+    made = {r.id: pickle.loads(r.made) for r in tasks.mapInArrow(tidy(run), "id long, made binary").collect()}
+    shared.destroy()
+    logit = np.zeros(len(bags))
+    for i, p in enumerate(parts):
+        logit[part == p] = made[i]
+    return made[len(parts)], logit
 
 
 def calibrate(net: Network, logit: np.ndarray, language: np.ndarray, y: np.ndarray, least: int = 5) -> None:
@@ -284,9 +306,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     part = (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % PARTS).cast("int").alias("part")
     got, bags = collected(made.select(F.col("k").cast("string").alias("k"), "y", part, "lang", "x"), "x", np.int32, 1 + len(PREFIXES))
     y, language, part = np.asarray(got["y"], np.float64), np.asarray(got["lang"], np.int64), np.asarray(got["part"], np.int64)
-    net = train(bags, y, seed=seed)
-    if len(set(y.tolist())) > 1:
-        calibrate(net, unseen_logits(bags, y, part, seed), language, y)
+    if len(set(y.tolist())) < 2:
+        return train(bags, y, seed=seed)
+    net, logit = train_all(docs.sparkSession, bags, y, part, seed)
+    calibrate(net, logit, language, y)
     return net
 
 
