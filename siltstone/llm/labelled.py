@@ -30,6 +30,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return texts.join(F.broadcast(picked), "k").select("k", "t", "y")
 
 
+#: Bytes of features to learn from, besides the bound on rows: texts may be of any length.
+TRAIN_BYTES = 128 << 20
+
+
+def within(made: DataFrame, size: Column, most: int) -> DataFrame:
+    """The rows of a sample whose ``size`` (bytes of features) add up to ``most`` at most, taken whole in the order of hashed keys ``k``.
+
+    A key whose rows alone are more isn't learnt from. ``made`` is read twice: give a written table. At most one
+    narrow row per sampled key comes to the driver.
+    """
+    h = F.xxhash64(F.col("k").cast("string"))
+    sizes = made.select(h.alias("h"), size.alias("n")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") <= most).toArrow()
+    hashes, n = np.asarray(sizes["h"], np.int64), np.asarray(sizes["n"], np.int64)
+    order = np.argsort(hashes)
+    taken = hashes[order][np.cumsum(n[order]) <= most]
+    told = made.sparkSession.createDataFrame(pa.table({"h": taken}))
+    return made.withColumn("h", h).join(F.broadcast(told), "h").drop("h")
+
+
 def collected(df: DataFrame, bag: str, dtype: type, width: int) -> tuple[pa.Table, list[np.ndarray]]:
     """A bounded frame on the driver, ordered by key ``k`` and label ``y``, and its lists ``bag`` as arrays of ``width`` columns.
 

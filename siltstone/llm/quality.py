@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import Block, blocks, range_hashes, ranges_of
-from siltstone.llm.frames import map_batches
-from siltstone.llm.labelled import collected, labelled_sample
+from siltstone.llm.frames import discard, map_batches, saved, shared_dir
+from siltstone.llm.labelled import TRAIN_BYTES, collected, labelled_sample, within
 
 PASSAGE = 64
 #: Labelled rows to learn from; every passage of each is used.
@@ -175,11 +175,11 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 400, rate:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held_out: int = 2, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held_out: int = 2, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, seed: int = 7) -> Network:
     """A network fitted to at most ``max_rows`` labelled rows outside the held-out fold.
 
     Null texts, keys and labels aren't used. The driver gets the features of every passage of these rows, 72 bytes for
-    64 tokens; it works them off in runs of whole rows of about ``TILE`` passages.
+    64 tokens and at most ``max_bytes`` together; it works them off in runs of whole rows of about ``TILE`` passages.
     """
 
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
@@ -191,7 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
     made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.FloatType())}, ["k", "y"]).select(F.col("k").cast("string").alias("k"), "y", "x")
-    got, bags = collected(made, "x", np.float32, FEATURES)
+    folder = shared_dir(docs.sparkSession)
+    got, bags = collected(within(saved(made, folder=folder), 4 * F.size("x").cast("long"), max_bytes), "x", np.float32, FEATURES)
+    discard(docs.sparkSession, folder)
     at = np.concatenate([[0], np.cumsum([len(v) for v in bags])]).astype(np.int64)
     x = np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32)
     return train(x, at, np.asarray(got["y"], np.float64), seed=seed)

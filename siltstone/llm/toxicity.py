@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrays import LOWER, WORD, Block, RangeHasher, blocks, mix, ranges_of
-from siltstone.llm.frames import map_batches, tidy
-from siltstone.llm.labelled import collected, labelled_sample
+from siltstone.llm.frames import discard, map_batches, saved, shared_dir, tidy
+from siltstone.llm.labelled import TRAIN_BYTES, collected, labelled_sample, within
 
 #: Labelled rows to learn and calibrate from.
 TRAIN_ROWS = 8192
@@ -288,9 +288,10 @@ def calibrate(net: Network, logit: np.ndarray, language: np.ndarray, y: np.ndarr
             net.cuts[i] = best_cut(logit[own], y[own])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, max_rows: int = TRAIN_ROWS, seed: int = 7) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, seed: int = 7) -> Network:
     """A network fitted to at most ``max_rows`` labelled rows outside the held-out fold; the cuts are calibrated on all
-    of them, by networks that each leave out a quarter. Null texts, keys and labels aren't used. The driver gets hashed words of these rows only.
+    of them, by networks that each leave out a quarter. Null texts, keys and labels aren't used. The driver gets hashed words of these rows
+    only, whole texts of at most ``max_bytes`` together (16 bytes a word).
     """
 
     def fn(texts: pa.Array) -> dict[str, pa.Array]:
@@ -304,7 +305,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = labelled_sample(docs, labels, key, text, label, folds, held_out, max_rows)
     made = map_batches(sample, fn, ["t"], {"x": T.ArrayType(T.IntegerType()), "lang": T.IntegerType()}, ["k", "y"])
     part = (F.crc32(F.concat(F.lit("part:"), F.col("k").cast("string")).cast("binary")) % PARTS).cast("int").alias("part")
-    got, bags = collected(made.select(F.col("k").cast("string").alias("k"), "y", part, "lang", "x"), "x", np.int32, 1 + len(PREFIXES))
+    folder = shared_dir(docs.sparkSession)
+    made = saved(made.select(F.col("k").cast("string").alias("k"), "y", part, "lang", "x"), folder=folder)
+    got, bags = collected(within(made, 4 * F.size("x").cast("long"), max_bytes), "x", np.int32, 1 + len(PREFIXES))
+    discard(docs.sparkSession, folder)
     y, language, part = np.asarray(got["y"], np.float64), np.asarray(got["lang"], np.int64), np.asarray(got["part"], np.int64)
     if len(set(y.tolist())) < 2:
         return train(bags, y, seed=seed)

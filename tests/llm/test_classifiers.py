@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import quality, toxicity
 from siltstone.llm.arrays import blocks
-from siltstone.llm.labelled import fold
+from siltstone.llm.labelled import fold, within
 from tests.llm.helpers import CLASHES, edge_docs
 
 DATA = "/root/testdata/sf0.1"
@@ -86,6 +86,23 @@ def test_without_labels_or_of_one_kind(spark):
             assert all(0 <= r.score <= 1 for r in module.score(docs, module.fit(docs, labels)).collect())
 
 
+def test_bytes_to_learn_from_are_bounded(spark, tables):
+    made = spark.createDataFrame([(f"k{i}", 10 if i else 1000) for i in range(40)] + [("k1", 10)], "k string, n long")
+    got = [r.k for r in within(made, F.col("n"), 200).collect()]
+    first = [r.k for r in made.where("k != 'k0'").select("k").distinct().orderBy(F.xxhash64("k")).collect()]
+    chosen, used = [], 0
+    for k in first:  # whole keys in order of their hashes; a key over the bound by itself is passed over
+        used += 20 if k == "k1" else 10
+        if used <= 200:
+            chosen += [k] * (2 if k == "k1" else 1)
+    assert sorted(got) == sorted(chosen)
+    assert sorted(r.k for r in within(made, F.col("n"), 10_000).collect()) == sorted(r.k for r in made.collect())
+    docs, labels = tables
+    few = docs.where("doc_id < 200")
+    for module in (quality, toxicity):
+        assert all(0 <= r.score <= 1 for b in (0, 20_000) for r in module.score(few.limit(9), module.fit(few, labels, max_bytes=b)).collect())
+
+
 def test_passages_cover_the_whole_text():
     text = "good words " * 500 + "JUNK!! " * 70
     b = next(blocks(pa.array([text, "", "x"])))
