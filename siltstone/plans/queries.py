@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.errors import SimulatedCrash
+from siltstone.errors import AlreadyExists, CommitFailed, NoSuchTable, SimulatedCrash, ValidationError
 from siltstone.functions import predicates as P
+from siltstone.functions.bounds import binary_bounds, decode
 from siltstone.functions.predicates import col
 from siltstone.functions.transforms import Transform
 from siltstone.operators.planning import plan, split
@@ -20,9 +21,9 @@ from siltstone.operators.table import Table
 from siltstone.operators.task_reader import task_df
 from siltstone.plans.sql_filters import where
 from siltstone.sources.catalog import Catalog, scratch
-from siltstone.sources.commit import HINT, TableOps
-from siltstone.sources.metadata import DataFile, PartitionSpec
-from siltstone.sources.raw import column_bytes, csv_round_trip, read_merged, row_groups_kept
+from siltstone.sources.commit import HINT, TableOps, version_file
+from siltstone.sources.metadata import DataFile, PartitionSpec, TableMetadata
+from siltstone.sources.raw import anatomy, column_bytes, csv_round_trip, read_merged, row_groups_kept
 from siltstone.sources.schema import Schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -660,6 +661,94 @@ def widened_and_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.to_df(((col("c_acctbal") > 100) & P.TRUE & (col("c_custkey") <= 700)) | P.FALSE)
 
 
+@query("SELECT * FROM (VALUES ('create twice', 'AlreadyExists'), ('load missing', 'NoSuchTable'), ('stale base', 'CommitFailed'), ('foreign metadata', 'ValidationError'), ('hint without version', 'ValidationError')) AS v(tried, error)")
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused, and with which error: among it metadata of another table and a hint to a version that isn't there."""
+    catalog = scratch(spark)
+    a, b = (catalog.create(n, _read(spark, sf_dir, "region")) for n in "ab")
+    base = a.metadata
+    catalog.load("a").update_schema().add("note", "string").commit()
+
+    def foreign() -> None:
+        b.store.replace(version_file(2), a.metadata.to_json())
+        b.refresh()
+
+    def without_version() -> None:
+        a.store.replace(HINT, "99")
+        TableOps(a.store).refresh()
+
+    tried = {
+        "create twice": lambda: catalog.create("a", base.schema),
+        "load missing": lambda: catalog.load("c"),
+        "stale base": lambda: a.ops.commit(base, TableMetadata(base.table_uuid, base.location, base.schemas, base.specs)),
+        "foreign metadata": foreign,
+        "hint without version": without_version,
+    }
+    found = []
+    for name, f in tried.items():
+        try:
+            f()
+            found.append((name, "none"))
+        except (AlreadyExists, CommitFailed, NoSuchTable, ValidationError) as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "tried string, error string")
+
+
+@query("SELECT 4 AS snapshots, 4 AS different, 4 AS positive, 4 AS hint_follows")
+def snapshot_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a table's snapshots; the hint names the version after as many commits."""
+    t = _many_files(spark, sf_dir)
+    ids = [s.snapshot_id for s in t.metadata.snapshots]
+    hint = int(t.store.read(HINT) or 0) - 1  # version 1 is the empty table
+    return spark.createDataFrame([(len(ids), len(set(ids)), sum(i > 0 for i in ids), hint)], "snapshots int, different int, positive int, hint_follows int")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS committed, true AS torn_files_in_folder FROM events")
+def torn_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a broken write leaves in the table's folder are no part of the table, unlike in a plain folder of Parquet."""
+    df = _read(spark, sf_dir, "events")
+    t = _filled(spark, df, _by_day)
+    folder = f"{t.store.root}/data"
+    df.where("event_id % 2 = 0").write.mode("append").parquet(folder)
+    seen = spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(folder).count()
+    return t.refresh().to_df().agg(F.count(F.lit(1)).alias("committed")).withColumn("torn_files_in_folder", F.col("committed") < F.lit(seen))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, min(event_id) AS lo, max(event_id) AS hi, CAST(count(*) - count(props) AS BIGINT) AS nulls, 6 AS columns FROM events")
+def parquet_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, bounds, nulls and columns as the footers' column chunks have them."""
+    t = _events(spark, sf_dir)
+    chunks = [c for f in t.scan().files() for c in anatomy(f.path)]
+    ids, props = ([c for c in chunks if c.column == n] for n in ("event_id", "props"))
+    row = (sum(c.rows for c in ids), min(c.low for c in ids), max(c.high for c in ids), sum(c.nulls for c in props), len({c.column for c in chunks}))
+    return spark.createDataFrame([row], "n long, lo long, hi long, nulls long, columns int")
+
+
+@query("SELECT DISTINCT event_type AS part FROM events WHERE event_type <> 'click' AND NOT event_type >= 'signup' OR event_type = 'view'")
+def exact_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition tuples for which a predicate with != and NOT holds exactly, judged one by one."""
+    t = _filled(spark, _read(spark, sf_dir, "events"), lambda s: PartitionSpec.builder(s).identity("event_type").build())
+    bound = P.bind((col("event_type") != "click") & ~(col("event_type") >= "signup") | (col("event_type") == "view"), t.schema)
+    field = t.spec.fields[0]
+    on_tuple = P.project(P.rewrite_not(bound), [(field.field_id, field.source_id, field.transform)], lambda i: t.schema.by_id(i).spark)
+    parts = {f.partition[field.field_id] for f in t.scan().files() if P.matches_partition(on_tuple, f.partition)}
+    return spark.createDataFrame(sorted((p,) for p in parts), "part string")
+
+
+_LITTLE = "array_to_string(list_reverse(regexp_extract_all(printf('%016x', {}), '..')), '')"
+
+
+@query(f"""SELECT {_LITTLE.format('min(event_id)')} AS lo_id, {_LITTLE.format('epoch_us(max(ts))')} AS hi_ts, lower(hex(min(event_type))) AS lo_type, max(value) AS hi_value FROM events""")
+def binary_bounds_of_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of one file in binary form: a long, a time and a string as bytes, a fraction there and back."""
+    t = scratch(spark).create("t", df := _read(spark, sf_dir, "events"))
+    t.append(df.coalesce(1))
+    ((lower, upper),) = (binary_bounds(f, t.schema) for f in t.scan().files())
+    at = {f.name: f for f in t.schema.fields}
+    row = (lower[at["event_id"].id].hex(), upper[at["ts"].id].hex(), lower[at["event_type"].id].hex(), decode(upper[at["value"].id], at["value"].spark))
+    return spark.createDataFrame([row], "lo_id string, hi_ts string, lo_type string, hi_value double")
+
+
 def queries() -> dict[str, Query]:
     """Every query of this module, by name."""
     return dict(_QUERIES)
